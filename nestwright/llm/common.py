@@ -119,21 +119,19 @@ def crc_mod(column, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n if isinstance(column, str) else F.crc32(column.cast("string").cast("binary")) % n
 
 
-def bit_place(column: str, log2_bits: int = 24):
-    """Where a value stands in a bit_filter."""
-    return F.pmod(F.xxhash64(column), F.lit(1 << log2_bits))
+FILTER_BITS = 1 << 24
 
 
-def bit_filter(df: DataFrame, column: str, log2_bits: int = 24) -> np.ndarray:
-    """A bitmap of fixed size (2**log2_bits bits, 2 MB) with the bit of every value of the column set.
+def bits_of(df: DataFrame, column) -> DataFrame:
+    """A bitmap of FILTER_BITS bits (2 MB, whatever the input) as rows (word, bits), with the bit of every value set.
 
-    It only spares work: what passes by chance is dropped by a later join. A full bitmap lets all pass."""
-    at = df.select(bit_place(column, log2_bits).alias("at"))
-    table = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
-    words = np.zeros(1 << (log2_bits - 6), np.int64)
-    words[table["word"].to_numpy()] = table["bits"].to_numpy()
-    return words
+    It only spares work: what passes by chance is dropped by a later join; a full bitmap lets all pass."""
+    at = df.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("at"))
+    return stash(at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")), "bits")
 
 
-def passes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (words.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+def may_have(df: DataFrame, column, bits: DataFrame, flag: str = "may") -> DataFrame:
+    """df with a boolean column more: whether the value's bit is set. The bitmap is broadcast: its size is fixed."""
+    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    marked = df.withColumn("_word", F.expr("0L") + F.floor(at / 64)).join(F.broadcast(bits.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), "_word", "left")
+    return marked.withColumn(flag, F.coalesce(F.getbit("_bits", (at % 64).cast("int")) == 1, F.lit(False))).drop("_word", "_bits")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestwright.llm.common import bit_filter, bit_place, mix, passes, slices, stash, text_bytes, word_hashes, word_spans
+from nestwright.llm.common import bits_of, may_have, mix, slices, stash, text_bytes, word_hashes, word_spans
 from nestwright.llm.components import components
 
 #: A shingle held to be frequent, counted within runs of COUNT_RUN shingles where it stands in two sets or more.
@@ -206,17 +206,11 @@ def _tiles(percent: int):
     return run
 
 
-def _members(words: np.ndarray):
-    """(node, tokens) of the documents that pass the filter; tokens are packed, ascending."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(passes(words, batch.column("at").to_numpy())))
-            for part in slices([batch]):
-                sets = [t for t in shingle_sets(part) if len(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in sets], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], ["node", "tokens"])
-
-    return run
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, tokens) of each document; tokens are packed, ascending."""
+    for batch in slices(batches):
+        sets = [t for t in shingle_sets(batch) if len(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in sets], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], ["node", "tokens"])
 
 
 def _intersected(percent: int):
@@ -234,7 +228,7 @@ def _intersected(percent: int):
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of nodes that are links, by exact intersection of the sets of one document of each."""
     needed = stash(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "rep"), "node"), "needed")
-    found = docs.select("text", bit_place("doc_id").alias("at")).where("text is not null").mapInArrow(_members(bit_filter(needed, "rep")), "node long, tokens binary")
+    found = may_have(docs.where("text is not null"), F.col("doc_id"), bits_of(needed, F.col("rep"))).where("may").select("text").mapInArrow(_members, "node long, tokens binary")
     held = stash(found.join(needed.select("node"), "node").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
     joined = pairs.join(held.select(F.col("node").alias("u"), F.col("tokens").alias("ta")), "u").join(held.select(F.col("node").alias("v"), F.col("tokens").alias("tb")), "v")
     return stash(joined.select("u", "v", "ta", "tb").mapInArrow(_intersected(percent), "u long, v long"), "links")

@@ -1,9 +1,13 @@
 """The training-data queries by name, and SQL for those that SQL can express."""
 
+from nestwright.llm.byte_bpe import op9_byte_bpe
 from nestwright.llm.ngram_jaccard import op2_ngram_jaccard
+from nestwright.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
