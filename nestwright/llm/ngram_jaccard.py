@@ -8,7 +8,8 @@ Exact similarity join in two rounds.
    lines and passages are seldom posted. In each posted group every set is tried against the
    group's least set only, a star, and links found are joined to components.
 2. Groups whose sets still lie in different components are cut into tiles of bounded size, sorted by
-   set size; hashed bitmap signatures of the sets, as wide as the size band asks, bound each pair's
+   set size; two sets are compared where the places of the shared shingle leave enough members after it for a
+   link (it may be their first in common); hashed bitmap signatures of the sets, as wide as the size band asks, bound each pair's
    overlap from above by bit counts, and pairs that pass are intersected exactly.
 
 Links inside a component that is already joined are not needed for the answer and are never listed, so
@@ -28,7 +29,7 @@ from nestwright.llm.common import bits_of, may_have, mix, slices, stash, text_by
 from nestwright.llm.components import components
 
 #: A shingle held to be frequent, counted within runs of COUNT_RUN shingles where it stands in two sets or more.
-FREQUENT, FREQUENT_MOST, COUNT_RUN = 24, 1 << 17, 1 << 22
+FREQUENT, FREQUENT_MOST, COUNT_RUN = 4, 1 << 19, 1 << 22
 #: Sets in a tile of the second round.
 TILE = 2048
 #: Parts into which the group of a frequent shingle is dealt in the first round.
@@ -87,7 +88,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """At most FREQUENT_MOST frequent shingles, rarest first. They only set the order of shingles, which
-    changes the work and never the result; the bound keeps what is broadcast at 1 MB."""
+    changes the work and never the result; the bound keeps what is broadcast at 4 MB."""
     counted = docs.select("text").mapInArrow(_repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token").toArrow()
     return top["token"].to_numpy()[::-1].copy()
@@ -164,35 +165,41 @@ def _tiles(percent: int):
     """Within each (token, i, j) tile, pairs of different components whose bit counts allow a link."""
 
     def pairs(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        node, n, comp = (np.array([r[k] for r in group], np.int64) for k in (0, 1, 2))
+        node, n, pos, comp = (np.array([r[k] for r in group], np.int64) for k in range(4))
+        order = np.argsort(n, kind="stable")
+        node, n, pos, comp = node[order], n[order], pos[order], comp[order]
+        sigs = [group[i][4] for i in order]
         left, right = [], []
-        widths = np.array([8 * len(r[3]) for r in group])
-        bands = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
-        for w, own in bands.items():
-            for other in (own, bands.get(2 * w)):
-                if other is None:
+        ends = np.searchsorted(n, 100 * n // percent, "right")  # sets up to here aren't too large for each
+        for start in range(0, len(n), 256):
+            x = np.arange(start, min(start + 256, len(n)))
+            y = np.arange(start, ends[x[-1]])
+            need = -(-percent * (n[x][:, None] + n[y][None, :]) // (100 + percent))
+            i, j = np.nonzero((y[None, :] > x[:, None]) & (comp[x][:, None] != comp[y][None, :]) & (pos[x][:, None] <= n[x][:, None] - need) & (pos[y][None, :] <= n[y][None, :] - need))
+            i, j = x[i], y[j]
+            bits = np.array([len(sigs[k]) for k in x])
+            for width in np.unique(bits).tolist():  # the smaller set's signature is the narrower one
+                own = np.flatnonzero(bits[i - start] == width)
+                if not len(own):
                     continue
-                a = np.stack([_wide(group[i][3], w) for i in own])
-                b = np.stack([_wide(group[i][3], w) for i in other])
-                pa_, pb_ = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
-                step = max(1, (1 << 22) // max(1, b.size))
-                for s in range(0, len(own), step):
-                    x = own[s : s + step]
-                    both = np.zeros((len(x), len(other)), np.int64)
-                    for k in range(a.shape[1]):
-                        both += np.bitwise_count(a[s : s + step, k, None] & b[None, :, k])
-                    most = np.minimum((n[x] - pa_[s : s + step])[:, None], (n[other] - pb_)[None, :]) + both
-                    fits = enough(most, n[x][:, None], n[other][None, :], percent) & (comp[x][:, None] != comp[other][None, :]) & (100 * np.minimum(n[x][:, None], n[other][None, :]) >= percent * np.maximum(n[x][:, None], n[other][None, :]))
-                    if other is own:
-                        fits &= node[x][:, None] < node[other][None, :]
-                    i, j = np.nonzero(fits)
-                    left.append(node[x[i]]), right.append(node[other[j]])
-        return (np.concatenate(left), np.concatenate(right)) if left else (node[:0], node[:0])
+                rows = {k: at for at, k in enumerate(np.unique(np.concatenate([i[own], j[own]])).tolist())}
+                table = np.stack([_wide(sigs[k], 8 * width) for k in rows])
+                count = np.bitwise_count(table).sum(1, dtype=np.int64)
+                where = np.zeros(len(n), np.int64)
+                where[list(rows)] = np.arange(len(rows))
+                step = max(1, (1 << 20) // table.shape[1])
+                for at in range(0, len(own), step):
+                    a, b = i[own[at : at + step]], j[own[at : at + step]]
+                    both = np.bitwise_count(table[where[a]] & table[where[b]]).sum(1, dtype=np.int64)
+                    fits = enough(np.minimum(n[a] - count[where[a]], n[b] - count[where[b]]) + both, n[a], n[b], percent)
+                    left.append(node[a[fits]]), right.append(node[b[fits]])
+        u, v = (np.concatenate(left), np.concatenate(right)) if left else (node[:0], node[:0])
+        return np.minimum(u, v), np.maximum(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for batch in batches:
-            for token, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j", "node", "n", "comp", "sig")), strict=True):
+            for token, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j", "node", "n", "pos", "comp", "sig")), strict=True):
                 if (token, i, j) != key:
                     if len(group) > 1:
                         u, v = pairs(group)
@@ -247,25 +254,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = stash(sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
 
     # Round 1. A frequent shingle's group is dealt to PARTS parts by token and node, so that no task holds it whole.
-    posted = sets.select("node", "n", F.explode("prefix").alias("token")).withColumn("part", F.lit(0)).union(sets.select("node", "n", F.explode("common").alias("token")).withColumn("part", F.pmod(F.xxhash64("token", "node"), F.lit(PARTS)).cast("int")))
-    posted = posted.repartition("token", "part")
-    stars = posted.groupBy("token", "part").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last"))
-    shared = stars.where((F.col("hub.node") != F.col("last")) | (F.col("part") > 0)).select("token", "part", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    live = stash(posted.join(shared, ["token", "part"]).select("token", "node", "n", "hub", "hub_n").distinct(), "live")
-    star = live.where((F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    rare = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("part", F.lit(0))
+    often = sets.select("node", "n", F.size("prefix").alias("before"), F.posexplode("common").alias("at", "token")).select("node", "n", (F.col("before") + F.col("at")).alias("pos"), "token")
+    posted = rare.union(often.withColumn("part", F.pmod(F.xxhash64("token", "node"), F.lit(PARTS)).cast("int"))).repartition("token", "part")
+    # The hub of a group is the set with the fewest rarer shingles before this one, as an original has among its copies.
+    stars = posted.groupBy("token", "part").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("place"), "node", "n", "pos")).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last"))
+    shared = stars.where((F.col("first") != F.col("last")) | (F.col("part") > 0)).select("token", "part", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+    live = stash(posted.join(shared, ["token", "part"]).select("token", "node", "n", "pos", "hub", "hub_n", "hub_pos").distinct(), "live")
+    # Two sets with enough in common have it in the members from their first common one on.
+    need = F.ceil(percent * (F.col("n") + F.col("hub_n")) / (100 + percent))
+    star = live.where((F.col("node") != F.col("hub")) & (F.col("pos") <= F.col("n") - need) & (F.col("hub_pos") <= F.col("hub_n") - need)).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     side = lambda end, k: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
     likely = stash(star.join(side("u", "a"), "u").join(side("v", "b"), "v").mapInArrow(_bounded(percent), "u long, v long"), "likely")
     links = _links(docs, nodes, likely, percent)
     joined = stash(components(links), "joined")
 
     # Round 2. Groups that still hold several components, in tiles.
-    known = live.select("token", "node", "n").join(joined, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    known = live.select("token", "node", "n", "pos").join(joined, "node", "left").select("token", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
     known = stash(known, "known")
     mixed = known.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a != b")
     mixed = mixed.select("token", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     dealt = known.join(mixed, "token").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("token", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "node", "n", "comp").join(nodes.select("node", "sig"), "node")
-    tiled = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").select("token", "i", "j", "node", "n", "comp", "sig")
+    dealt = dealt.select("token", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "node", "n", "pos", "comp").join(nodes.select("node", "sig"), "node")
+    tiled = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").select("token", "i", "j", "node", "n", "pos", "comp", "sig")
     rest = stash(tiled.mapInArrow(_tiles(percent), "u long, v long").distinct(), "rest")
     joined = components(links.union(_links(docs, nodes, rest, percent)))
 

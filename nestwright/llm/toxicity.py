@@ -66,7 +66,7 @@ class Model:
         saved = self.savings(text)
         top = np.sort(saved)[::-1][:4]
         n = len(saved)
-        return [1.0, top[0] if n else 0.0, float(top[1:].sum()) / 3, float((saved >= 3).sum()) / math.sqrt(n or 1), float(saved.clip(0).sum()) / (n or 1), math.log1p(n)]
+        return [1.0, top[0] if n else 0.0, float(top[1:].sum()) / 3, float((saved >= 3).sum()) / math.sqrt(n or 1), float((saved >= 5).sum()) / math.sqrt(n or 1), float(saved.clip(0).sum()) / (n or 1), math.log1p(n)]
 
     def score(self, text: str | None) -> float:
         if not self.weights:
@@ -137,8 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     x, y = np.array(table["x"].to_pylist()), table["toxic"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return Model(model.ordinary, model.toxic, share=share)
-    # The classes count as often as they stand among all labelled rows.
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    # Between how often the classes stand among all labelled rows and evenly, so that a miss costs more than a false alarm.
+    prior = math.sqrt(share / 2)
+    weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     order = np.lexsort((*x.T[::-1], y))
     model.weights = fit_logistic(x[order], y[order], weight[order]).tolist()
     return model
