@@ -202,21 +202,27 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sharded(length: int):
-    """Rows (key, frag, lo, hi, bucket, seen): a run of repeated windows; or, with a bucket, a window to be looked up."""
+    """Rows (key, frag, lo, hi): a run of repeated windows; and (key, bucket, packed): the windows of a shard that are
+    to be looked up in the anchor's other shards, as (seen, frag, place) triples in order of their hash, `seen`."""
+    names = ["key", "frag", "lo", "hi", "bucket", "packed"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
 
     def told(group: list[tuple]) -> pa.RecordBatch:
-        rows: list[list] = [[] for _ in range(6)]
-        for (key, frag, n, parts, windows, body), (repeated, stands) in zip(group, shard_repeats([g[2:3] + g[4:6] for g in group], length), strict=True):
-            lo, hi = _runs(repeated)
-            for column, values in zip(rows, ([key] * len(lo), [frag] * len(lo), lo, hi, [None] * len(lo), [None] * len(lo)), strict=True):
-                column.extend(values)
+        runs: list[tuple] = []
+        windows: dict[tuple[int, int], list[np.ndarray]] = {}
+        for (key, frag, _, parts, _, body), (repeated, stands) in zip(group, shard_repeats([g[2:3] + g[4:6] for g in group], length), strict=True):
+            runs += [(key, frag, lo, hi, None, None) for lo, hi in zip(*(x.tolist() for x in _runs(repeated)), strict=True)]
             if parts > 1:
                 at = np.flatnonzero(stands)
-                data = np.frombuffer(body, np.uint8)
-                seen = _hashes(_prefix_sums(data), at, at + length)
-                for column, values in zip(rows, ([key] * len(at), [frag] * len(at), at, at + 1, (seen % np.uint64(parts)).astype(np.int64).tolist(), seen.view(np.int64).tolist()), strict=True):
-                    column.extend(values)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "frag", "lo", "hi", "bucket", "seen"])
+                seen = _hashes(_prefix_sums(np.frombuffer(body, np.uint8)), at, at + length)
+                windows.setdefault((key, parts), []).append(np.stack([seen.view(np.int64), np.full(len(at), frag), at], axis=1))
+        for (key, parts), held in windows.items():
+            table = np.concatenate(held)
+            table = table[np.argsort(table[:, 0].view(np.uint64))]
+            bucket = (table[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            for number in np.unique(bucket).tolist():
+                runs.append((key, None, None, None, number, table[bucket == number].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*runs, strict=True) if runs else [[]] * 6, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, size, last = [], 0, None
@@ -235,28 +241,26 @@ def _sharded(length: int):
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of an anchor's bucket that stand in more than one of its shards, by binary search in the sorted hashes."""
+    """(key, frag, lo, hi) of the windows of an anchor's bucket that stand in more than one of its shards: the shards'
+    sorted hashes are merged, and each hash is looked up by binary search."""
 
-    def told(group: list[pa.Table]) -> pa.RecordBatch:
-        table = pa.concat_tables(group).combine_chunks()
-        seen = table.column("seen").to_numpy()
-        ordered = np.sort(seen)
-        twice = np.searchsorted(ordered, seen, "right") - np.searchsorted(ordered, seen, "left") > 1
-        return table.select(["key", "frag", "lo", "hi"]).filter(pa.array(twice)).combine_chunks().to_batches(1 << 20)
+    def told(key: int, held: list[bytes]) -> pa.RecordBatch:
+        table = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 3) for h in held])
+        seen = table[:, 0]
+        merged = np.sort(seen, kind="stable")
+        found = table[np.searchsorted(merged, seen, "right") - np.searchsorted(merged, seen, "left") > 1]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found[:, 1].copy()), pa.array(found[:, 2].astype(np.int32)), pa.array((found[:, 2] + 1).astype(np.int32))], ["key", "frag", "lo", "hi"])
 
     last, held = None, []
     for batch in batches:
-        keys, buckets = batch.column(0).to_numpy(), batch.column(4).to_numpy()
-        edges = np.flatnonzero((keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1])) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
-            if b > a:
-                if held and (keys[a], buckets[a]) != last:
-                    yield from told(held)
-                    held = []
-                last = (keys[a], buckets[a])
-                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+        for key, bucket, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "bucket", "packed")), strict=True):
+            if held and (key, bucket) != last:
+                yield told(last[0], held)
+                held = []
+            last = (key, bucket)
+            held.append(packed)
     if held:
-        yield from told(held)
+        yield told(last[0], held)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +287,9 @@ def repeated_spans(known: DataFrame, length: int = LENGTH) -> DataFrame:
     neither ordered nor joined."""
     shape = "key long, frag long, th long, tm int, tn int, doc_id long, start int, windows int"
     found = known.where(F.col("tn") >= length).select("text", *TEXT, "doc_id").mapInArrow(_anchored(length), shape)
-    twice = found.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    live = stash(found.join(twice, "key").groupBy("key", "frag", *TEXT, "start", "windows").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")), "live")
+    found = found.groupBy("key", "frag", *TEXT, "start", "windows").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    twice = found.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key")
+    live = stash(found.join(twice, "key"), "live")
 
     whole = live.groupBy("key", "frag").agg(F.sum("n").alias("n"), F.min(F.struct(*TEXT, "doc_id", "start", "windows")).alias("at"))
     kinds = whole.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -298,8 +303,8 @@ def repeated_spans(known: DataFrame, length: int = LENGTH) -> DataFrame:
     bodies = near.join(asked.withColumnsRenamed({c: f"_{c}" for c in TEXT}), [*(F.col(c) == F.col(f"_{c}") for c in TEXT), F.col("doc_id").eqNullSafe(F.col("rep"))]).select("text", "wanted")
     bodies = bodies.mapInArrow(_cut_out, "key long, frag long, n long, parts long, part long, windows int, body binary").dropDuplicates(["key", "frag"])
     shards = bodies.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "frag", "n", "parts", "windows", "body")
-    told = stash(shards.mapInArrow(_sharded(length), "key long, frag long, lo int, hi int, bucket long, seen long"), "told")
-    looked = told.where("bucket is not null").repartition("key", "bucket").sortWithinPartitions("key", "bucket").mapInArrow(_looked_up, "key long, frag long, lo int, hi int")
+    told = stash(shards.mapInArrow(_sharded(length), "key long, frag long, lo int, hi int, bucket long, packed binary"), "told")
+    looked = told.where("bucket is not null").select("key", "bucket", "packed").repartition("key", "bucket").sortWithinPartitions("key", "bucket").mapInArrow(_looked_up, "key long, frag long, lo int, hi int")
 
     # A window that stands for a run in its shard and is found in another: so is the whole run's content, but each
     # fragment of the run is already marked there, or the window is alone in its run.
