@@ -18,6 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nestwright.llm.common import slices
 
@@ -206,7 +207,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     """docs with a column of token ids more (array<int>); a null or empty text has none. `path` must be readable
     on every executor, as an installed vocabulary is. A column called as `ids` is replaced; the others stay."""
     kept = [c for c in docs.columns if c != ids]
-    schema = docs.select(kept).schema.add(ids, "array<int>")
+    schema = docs.select(kept).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(path, pattern)

@@ -113,10 +113,10 @@ def _weighed(ratios: np.ndarray, bar: float, mean: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             text, bucket = grams(*text_bytes(batch.column(0)))
-            weight = np.bincount(text, ratios[bucket] - bar, minlength=batch.num_rows)
+            weight = np.bincount(text, ratios[bucket] - bar, minlength=batch.num_rows).astype(float)
             if mean:
                 weight /= np.maximum(np.bincount(text, minlength=batch.num_rows), 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(weight)], [*batch.schema.names[1:], "weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(weight, pa.float64())], [*batch.schema.names[1:], "weight"])
 
     return run
 
