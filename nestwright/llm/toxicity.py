@@ -24,7 +24,7 @@ from nestwright.llm.common import crc_mod, slices
 #: Labelled documents of each class that the model is fitted on at most, those with the least hashed doc_id.
 FIT_DOCUMENTS = 3000
 #: Words in a window; compression level; words and bytes of the dictionaries at most.
-WINDOW, LEVEL = 8, 9
+WINDOW, LEVEL = 8, 12
 TOXIC_WORDS, ORDINARY_WORDS, TOXIC_BYTES, ORDINARY_BYTES = 600, 4000, 8192, 24576
 #: A toxic word stands in at least this share of the toxic documents, and this many times more often than in ordinary ones.
 SHARE, TIMES = 0.015, 8
