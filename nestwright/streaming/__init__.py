@@ -1,0 +1 @@
+"""The functions are expressions within one row, so they apply to streaming DataFrames as they are and keep no state."""
