@@ -290,8 +290,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents whose doc_id is their component's least; of rows that repeat a doc_id, all with it stay.
     Rows without a doc_id stay. Columns are those of docs."""
-    found = near_duplicates(docs, percent).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(found.where("doc_id is not null"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    least = F.coalesce(F.bool_or(F.col("doc_id") == F.col("component_id")), F.lit(True))
+    gone = stash(near_duplicates(docs, percent).groupBy("doc_id").agg(least.alias("stays")).where("not stays").select(F.col("doc_id").alias("_gone")), "gone")
+    own = F.col("doc_id").cast("long")
+    marked = may_have(docs, own, bits_of(gone, F.col("_gone")), "_may")
+    # Only documents that may go are shuffled.
+    return marked.where("not _may").select(docs.columns).unionByName(marked.where("_may").join(gone, own == F.col("_gone"), "left_anti").select(docs.columns))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
