@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from nestwright.llm.common import slices
 
 #: Entries that a worker remembers of pieces and of pairs of tokens before it starts anew.
-PIECES, PAIRS = 150_000, 300_000
+PIECES, PAIRS = 100_000, 200_000
 
 
 class Vocabulary:
@@ -218,15 +218,21 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return docs.select(kept).mapInArrow(run, schema)
 
 
+@cache
+def _tokens(path: str) -> dict[int, bytes]:
+    """All that decoding needs, without what encoding does."""
+    return {i: t for t, i in read_ranks(path).items()}
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """encoded with the bytes of its ids more (binary; null ids: empty); unknown ids raise a KeyError."""
     kept = [c for c in encoded.columns if c != text]
     schema = encoded.select(kept).schema.add(text, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(path)
+        tokens = _tokens(path)
         for batch in batches:
-            found = pa.array([own.decode(x or ()) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()], pa.binary())
+            found = pa.array([b"".join(map(tokens.__getitem__, x or ())) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*kept, text])
 
     return encoded.select(kept).mapInArrow(run, schema)
