@@ -254,9 +254,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = stash(sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
 
     # Round 1. A frequent shingle's group is dealt to PARTS parts by token and node, so that no task holds it whole.
+    # Part 0 is of rare shingles only: a set alone in another part may still have others of its group in the rest.
     rare = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("part", F.lit(0))
     often = sets.select("node", "n", F.size("prefix").alias("before"), F.posexplode("common").alias("at", "token")).select("node", "n", (F.col("before") + F.col("at")).alias("pos"), "token")
-    posted = rare.union(often.withColumn("part", F.pmod(F.xxhash64("token", "node"), F.lit(PARTS)).cast("int"))).repartition("token", "part")
+    posted = rare.union(often.withColumn("part", (F.pmod(F.xxhash64("token", "node"), F.lit(PARTS)) + 1).cast("int"))).repartition("token", "part")
     # The hub of a group is the set with the fewest rarer shingles before this one, as an original has among its copies.
     stars = posted.groupBy("token", "part").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("place"), "node", "n", "pos")).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last"))
     shared = stars.where((F.col("first") != F.col("last")) | (F.col("part") > 0)).select("token", "part", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))

@@ -107,6 +107,14 @@ def linked_by_hand(texts):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
+def test_short_variants_of_a_frequent_shingle_are_linked(spark):
+    texts = []
+    for size in range(4, 65):  # one posted shingle in common, frequent from four variants on
+        texts += [" ".join(f"g{size}w{k}" for k in range(10)) + f" g{size}v{v}" for v in range(size)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == linked_by_hand(texts)
+
+
 @pytest.mark.parametrize("tile,parts", [(2048, 32), (4, 2)])
 def test_near_duplicates(spark, monkeypatch, tile, parts):
     monkeypatch.setattr(ngram_jaccard, "TILE", tile)
