@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from nestwright.llm import byte_bpe, decontamination, ngram_jaccard, quality, suffix_dedup
 from nestwright.llm.common import stash
 
-#: Bytes of a passage that counts as repeated here: a little under 50 words.
-PASSAGE = 256
+#: A passage counts as repeated here from so many bytes, whatever its words, or so many words, however short.
+PASSAGE, WORDS = 256, 51
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages of PASSAGE bytes or more that stand in more places than one out of the texts."""
-    return suffix_dedup.without_repeats(docs, PASSAGE)
+    """Takes passages of PASSAGE bytes or of WORDS words or more that stand in more places than one out of the texts."""
+    return suffix_dedup.without_repeats(docs, PASSAGE, WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

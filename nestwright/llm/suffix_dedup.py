@@ -25,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestwright.llm.common import _BYTE, bits_of, may_have, mix, powers, slices, stash, text_bytes
+from nestwright.llm.common import _BYTE, bits_of, may_have, mix, powers, slices, stash, text_bytes, word_spans
 
 LENGTH, GRAM = 400, 32
 #: Fragments of one anchor in a shard, and bytes of a shard unless one anchor's fragments are more.
 SHARD_FRAGMENTS, SHARD_BYTES = 2048, 1 << 20
 #: Windows that one numpy pass handles; longer texts are cut into overlapping runs.
 RUN = 1 << 22
+#: Letters that stand for a word where passages are counted in words: 6 bits of its hash each.
+CODE = 8
+_LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
 
 
 def _prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -282,11 +285,22 @@ def _known(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.hash(text).alias("tm"), F.octet_length(text).alias("tn"))
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text (the last column) with CODE letters for each word and no white space, so that n words are n * CODE bytes."""
+    for batch in slices(batches):
+        data, offsets = text_bytes(batch.column(batch.num_columns - 1))
+        starts, ends, first = word_spans(data, offsets)
+        bits = _hashes(_prefix_sums(data), starts, ends)[:, None] >> np.arange(0, 6 * CODE, 6, dtype=np.uint64)
+        codes = _LETTERS[(bits & np.uint64(63)).astype(np.int64)]
+        texts = pa.StringArray.from_buffers(batch.num_rows, pa.py_buffer((first * CODE).astype(np.int32)), pa.py_buffer(codes.tobytes()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], batch.schema.names)
+
+
 def repeated_spans(known: DataFrame, length: int = LENGTH) -> DataFrame:
     """(th, tm, tn, spans): for every distinct text that has some, its repeated byte spans, array<struct<lo,hi>>,
     neither ordered nor joined."""
     shape = "key long, frag long, th long, tm int, tn int, doc_id long, start int, windows int"
-    found = known.where(F.col("tn") >= length).select("text", *TEXT, "doc_id").mapInArrow(_anchored(length), shape)
+    found = known.where(F.octet_length("text") >= length).select("text", *TEXT, "doc_id").mapInArrow(_anchored(length), shape)
     found = found.groupBy("key", "frag", *TEXT, "start", "windows").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     twice = found.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key")
     live = stash(found.join(twice, "key"), "live")
@@ -299,7 +313,7 @@ def repeated_spans(known: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = whole.where("kinds > 1").select("key", "frag", "n", parts.alias("parts"), F.pmod(F.xxhash64("frag"), parts).alias("part"), "at.*").withColumn("length", F.lit(length))
     asked = stash(asked.groupBy(*TEXT, F.col("doc_id").alias("rep")).agg(F.collect_list(F.struct("key", "frag", "n", "parts", "part", "start", "windows", "length")).alias("wanted")), "asked")
     row = lambda doc_id: F.xxhash64(*TEXT, doc_id)
-    near = may_have(known.where(F.col("tn") >= length), row("doc_id"), bits_of(asked, row("rep"))).where("may")
+    near = may_have(known.where(F.octet_length("text") >= length), row("doc_id"), bits_of(asked, row("rep"))).where("may")
     bodies = near.join(asked.withColumnsRenamed({c: f"_{c}" for c in TEXT}), [*(F.col(c) == F.col(f"_{c}") for c in TEXT), F.col("doc_id").eqNullSafe(F.col("rep"))]).select("text", "wanted")
     bodies = bodies.mapInArrow(_cut_out, "key long, frag long, n long, parts long, part long, windows int, body binary").dropDuplicates(["key", "frag"])
     shards = bodies.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "frag", "n", "parts", "windows", "body")
@@ -325,6 +339,13 @@ def joined_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _of_words(text: str | None, coded: list[dict]) -> list[dict]:
+    """Byte spans of a text, from those of its words' codes."""
+    body = np.frombuffer((text or "").encode(), np.uint8)
+    starts, ends, _ = word_spans(body, np.array([0, len(body)]))
+    return [{"lo": int(starts[lo // CODE]), "hi": int(ends[-(-hi // CODE) - 1])} for lo, hi in joined_spans(coded)]
+
+
 def _cut(text: str | None, spans: list[dict] | None) -> tuple[bytes, bytes, int]:
     body, found = (text or "").encode(), joined_spans(spans)
     edges = [0, *(x for span in found for x in span), len(body)]
@@ -342,11 +363,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        cuts = [_cut(*x) for x in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+        found = zip(*(batch.column(c).to_pylist() for c in (at, batch.num_columns - 2, batch.num_columns - 1)), strict=True)
+        cuts = [_cut(text, [*(spans or ()), *(_of_words(text, coded) if coded else ())]) for text, spans, coded in found]
         texts = pa.array([kept.decode(errors="ignore") for _, kept, _ in cuts], pa.string())
         left = pa.array([bool(kept) or not body for body, kept, _ in cuts])
-        own = [texts if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays(own, batch.schema.names[:-1]).filter(left)
+        own = [texts if i == at else batch.column(i) for i in range(batch.num_columns - 2)]
+        yield pa.RecordBatch.from_arrays(own, batch.schema.names[:-2]).filter(left)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -363,18 +385,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.union(cut)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated bytes taken out of its texts, and n_chars, if there, counted anew. A character that
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """docs with the repeated bytes, and with `words` the repeated passages of so many words or more, taken out of its texts, and n_chars, if there, counted anew. A character that
     loses some of its bytes goes; so does a document of which nothing is left. A row that repeats a doc_id gets
-    the text that its own text leaves. Columns are those of docs."""
+    the text that its own text leaves. Columns are those of docs.
+
+    Words are what white space parts, known by 48 bits of their hash; the white space between them may differ."""
     known = _known(docs)
-    spans = stash(repeated_spans(known, length), "spans")
+    spans, none = repeated_spans(known, length), F.lit(None).cast("array<struct<lo:int,hi:int>>")
+    if words:
+        coded = known.select("doc_id", *TEXT, "text").mapInArrow(_coded, "doc_id long, th long, tm int, tn int, text string")
+        both = spans.withColumn("coded", none).unionByName(repeated_spans(coded, words * CODE).select(*TEXT, none.alias("spans"), F.col("spans").alias("coded")))
+        spans = both.groupBy(*TEXT).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("coded")).alias("coded"))
+    else:
+        spans = spans.withColumn("coded", none)
+    spans = stash(spans, "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.withColumns({"_th": F.xxhash64(text), "_tm": F.hash(text), "_tn": F.octet_length(text)})
     keys = [f"_{c}" for c in TEXT]
     marked = may_have(own, F.xxhash64(*keys), bits_of(spans, F.xxhash64(*TEXT)), "_may")
-    joined = marked.where("_may").join(spans.withColumnsRenamed({c: f"_{c}" for c in [*TEXT, "spans"]}), keys, "left")
-    cut = joined.select(*docs.columns, F.col("_spans")).mapInArrow(_shortened, docs.schema)
+    joined = marked.where("_may").join(spans.withColumnsRenamed({c: f"_{c}" for c in [*TEXT, "spans", "coded"]}), keys, "left")
+    cut = joined.select(*docs.columns, "_spans", "_coded").mapInArrow(_shortened, docs.schema)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return marked.where("not _may").select(docs.columns).unionByName(cut.select(docs.columns))

@@ -84,6 +84,27 @@ def test_repeats_are_removed(spark, monkeypatch, fragments):
         assert kept.get(i) == (None if gone and not body else texts[i] if texts[i] is None else body.decode(errors="ignore"))
 
 
+def test_the_pipeline_takes_out_repeated_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    short = lambda n: " ".join(rng.choice("abcdefgé") for _ in range(n))
+    repeated, less, long = short(51), short(50), "".join(rng.choice("xyz") for _ in range(300))
+    own = [f"{words(rng, 8)} start{i}" for i in range(12)]
+    ends = [f"{i}end {words(rng, 8)}" for i in range(12)]
+    texts, want = [], []
+    for i in range(12):
+        passage, left = [(repeated, ""), (less, less), (long, ""), (repeated.replace(" ", "\n"), ""), (repeated + " " + less, ""), (repeated.upper(), "")][i % 6]
+        texts.append(f"{own[i]} {passage} {ends[i]}")
+        want.append((own[i], left, ends[i]))
+    texts += [None, "", "b " * 50, " ".join("cde"[k % 3] for k in range(60))]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, docs_of(spark, texts), "").collect()}
+    for i, (a, b, c) in enumerate(want):
+        assert "".join(got[i].split()) == f"{a}{b}{c}".replace(" ", "")
+    # Repeated in itself at another place: both windows go, and so all words from the first to the last.
+    assert (got[12], got[13], got[14]) == (None, "", "b " * 50) and 15 not in got
+
+
 # 2. N-gram Jaccard join.
 
 
