@@ -153,7 +153,7 @@ def query_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     part = lambda what: F.try_parse_url(F.col("url"), F.lit(what))
-    return pages.select("page_id", N.url_build(scheme=part("PROTOCOL"), netloc=part("AUTHORITY"), path=F.substring(part("PATH"), 2, 1000), query=part("QUERY"), fragment=part("REF")).alias("url"))
+    return pages.select("page_id", N.url_build(scheme=part("PROTOCOL"), netloc=part("AUTHORITY"), path=F.regexp_replace(part("PATH"), "^/(?=[^/])", ""), query=part("QUERY"), fragment=part("REF")).alias("url"))
 
 
 def union_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

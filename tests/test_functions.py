@@ -266,3 +266,11 @@ def test_plans_have_no_python(spark):
     out = df.select(*(c.alias(f"x{i}") for i, c in enumerate(made)))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_the_url_query_keeps_long_paths(spark, tmp_path):
+    from nestwright.plans.queries import QUERIES
+
+    urls = ["https://a.b/" + "x/" * 1500 + "end?q=1#f", "https://a.b/p", "https://a.b/", "https://a.b//p"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [r.url for r in QUERIES["url_build"](spark, str(tmp_path)).orderBy("page_id").collect()] == urls
