@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer single text is one slice of its own.
@@ -93,6 +93,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; set here only where the session has none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -114,6 +116,18 @@ def unstash(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def beside_group(rows: DataFrame, key: list[str], part: str, sums: dict[str, tuple[Column, Column]], where: str, dealt: bool = False) -> DataFrame:
+    """rows with what `sums` tells of all rows of the same key, of the keys that `where` keeps.
+
+    One key may hold much of the input: its rows are dealt by `part` too, each part sums up its own, and the sums of
+    these go back to the parts that there are. sums: by name, the aggregate over rows and the one over the parts'.
+    dealt: the rows stand by key and part already."""
+    rows = rows if dealt else rows.repartition(*key, part)
+    parts = rows.groupBy(*key, part).agg(*(own.alias(name) for name, (own, _) in sums.items()))
+    whole = parts.groupBy(*key).agg(*(total.alias(name) for name, (_, total) in sums.items()), F.collect_list(part).alias(part)).where(where)
+    return rows.join(whole.withColumn(part, F.explode(part)), [*key, part])
+
+
 def crc_mod(column, n: int):
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n if isinstance(column, str) else F.crc32(column.cast("string").cast("binary")) % n

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestwright.llm.common import stash, unstash
+from nestwright.llm.common import beside_group, stash, unstash
+
+
+#: Parts into which the neighbours of one node are dealt.
+PARTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges(u, v) with m, the least of u and its neighbours. A node may have much of the graph beside it, so its edges
+    are dealt to parts."""
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    return beside_group(dealt, ["u"], "part", {"m": (F.least(F.min("u"), F.min("v")), F.min("m"))}, "m is not null").select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u")
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = _with_least(edges)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(moved.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
