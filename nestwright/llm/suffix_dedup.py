@@ -5,14 +5,17 @@ of equals, is its *anchor*; the windows of a text that share an anchor follow on
 they cover are a *fragment*. Equal windows have equal anchors at equal places, so only fragments whose anchor
 gram stands somewhere else too can hold a repeat; all others are never moved. What is left is dealt by anchor:
 
-1. a fragment that stands twice as a whole is repeated in all its windows; nothing has to be compared;
+1. a fragment that stands twice as a whole, told by a 64-bit hash of its bytes, is repeated in all its windows;
+   nothing has to be compared;
 2. different fragments of one anchor are gathered into shards of bounded size. Each shard gets a suffix array
    (Larsson-Sadakane refinement), common prefixes by Kasai's recurrence, and the runs of suffixes with
    `length` bytes in common are its repeats;
 3. an anchor with more fragments than a shard takes is cut over several; windows that are alone in their
    shard are then looked up in those of the anchor's other shards by binary search.
 
-Texts are known by a 96-bit hash and their length, so equal texts are worked on once.
+Texts are known by a 96-bit hash and their length, so equal texts are worked on once. One anchor, and one fragment,
+may hold much of the corpus: their places are dealt to PARTS parts by text as well. Passages can also be counted in
+words: the same is done to a string of CODE bytes for each word.
 """
 
 from __future__ import annotations
@@ -25,16 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestwright.llm.common import _BYTE, bits_of, may_have, mix, powers, slices, stash, text_bytes, word_spans
+from nestwright.llm.common import _BYTE, beside_group, bits_of, may_have, mix, powers, slices, stash, text_bytes, unstash, word_spans
 
 LENGTH, GRAM = 400, 32
 #: Fragments of one anchor in a shard, and bytes of a shard unless one anchor's fragments are more.
 SHARD_FRAGMENTS, SHARD_BYTES = 2048, 1 << 20
 #: Windows that one numpy pass handles; longer texts are cut into overlapping runs.
 RUN = 1 << 22
-#: Letters that stand for a word where passages are counted in words: 6 bits of its hash each.
-CODE = 8
-_LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
+#: Bits for a place in a run, so that windows of equal bytes rank their grams alike wherever they stand.
+PLACE = 23
+#: Bytes that stand for a word where passages are counted in words: a hash of its own. Words of a passage.
+CODE, WORDS = 4, 51
+#: Parts into which the places of an anchor or a fragment are dealt.
+PARTS = 64
 
 
 def _prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -68,7 +74,8 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     sums = _prefix_sums(data)
     _, down = powers(len(data) + 1)
     grams = mix((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
-    bits = np.uint64(max(1, int(len(grams)).bit_length()))
+    # The hash without its last bits, then the place: of the same bytes the order is the same in every run.
+    bits = np.uint64(PLACE)
     ranked = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     windows = len(data) - length + 1
     anchors = (_least(ranked, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -87,21 +94,31 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     return text, grams[anchors[first]], _hashes(sums, first, last + length - 1), first - offsets[text], last - first, anchors[first] - first
 
 
-def _anchored(length: int):
-    """Rows of fragments: (key, frag, th, tm, tn, doc_id, start, windows, lead)."""
+def _bytes(texts: pa.Array, coded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes and offsets, or with `coded` CODE bytes for each word, so that n words are n * CODE bytes."""
+    data, offsets = text_bytes(texts)
+    if not coded:
+        return data, offsets
+    starts, ends, first = word_spans(data, offsets)
+    return _hashes(_prefix_sums(data), starts, ends).astype(np.uint32).view(np.uint8), first * CODE
+
+
+def _anchored(length: int, coded: bool):
+    """Rows of fragments: (key, frag, th, tm, tn, start, windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            data, offsets = text_bytes(batch.column(0))
+            data, offsets = _bytes(batch.column(0), coded)
             step = RUN if len(data) > RUN + length else len(data) or 1
-            for at in range(0, max(1, len(data) - length + 1), step):  # only a slice of one long text takes several steps
-                part = data[at : at + step + length - 1]
-                own = offsets if step >= len(data) else np.array([0, len(part)])
-                text, key, frag, start, windows, lead = fragments(part, own, length)
+            many = len(offsets) > 2
+            # Only a slice of one long text takes several steps; of many texts the codes may be longer than the texts.
+            for at in range(0, 1 if many else max(1, len(data) - length + 1), step):
+                part = data if many else data[at : at + step + length - 1]
+                text, key, frag, start, windows, _ = fragments(part, offsets if many else np.array([0, len(part)]), length)
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(frag.view(np.int64)), *(batch.column(c).take(rows) for c in (1, 2, 3, 4)), pa.array((start + at).astype(np.int32)), pa.array(windows.astype(np.int32))],
-                    ["key", "frag", "th", "tm", "tn", "doc_id", "start", "windows"],
+                    [pa.array(key.view(np.int64)), pa.array(frag.view(np.int64)), *(c.take(rows) for c in batch.columns[1:]), pa.array((start + at).astype(np.int32)), pa.array(windows.astype(np.int32))],
+                    ["key", "frag", *TEXT, "start", "windows"],
                 )
 
     return run
@@ -266,16 +283,23 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(last[0], held)
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(th, tm, tn, key, frag, n, parts, part, windows, body) of the fragments that a text is asked for."""
-    for batch in batches:
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            body = text.encode()
-            rows = [(w["key"], w["frag"], w["n"], w["parts"], w["part"], w["windows"], body[w["start"] : w["start"] + w["windows"] + w["length"] - 1]) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "frag", "n", "parts", "part", "windows", "body"])
+def _cut_out(length: int, coded: bool):
+    """(key, frag, n, parts, part, windows, body) of the fragments that a text is asked for."""
+    names = ["key", "frag", "n", "parts", "part", "windows"]
+    types = (*[pa.int64()] * 5, pa.int32(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, asked = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index("wanted")).to_pylist()
+            for i, wanted in enumerate(asked):
+                body = _bytes(batch.column(at).slice(i, 1), coded)[0].tobytes()
+                rows = [(*(w[c] for c in names), body[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*names, "body"])
+
+    return run
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, repeated boolean"
 TEXT = ["th", "tm", "tn"]
 
 
@@ -285,48 +309,64 @@ def _known(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), F.hash(text).alias("tm"), F.octet_length(text).alias("tn"))
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text (the last column) with CODE letters for each word and no white space, so that n words are n * CODE bytes."""
-    for batch in slices(batches):
-        data, offsets = text_bytes(batch.column(batch.num_columns - 1))
-        starts, ends, first = word_spans(data, offsets)
-        bits = _hashes(_prefix_sums(data), starts, ends)[:, None] >> np.arange(0, 6 * CODE, 6, dtype=np.uint64)
-        codes = _LETTERS[(bits & np.uint64(63)).astype(np.int64)]
-        texts = pa.StringArray.from_buffers(batch.num_rows, pa.py_buffer((first * CODE).astype(np.int32)), pa.py_buffer(codes.tobytes()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], batch.schema.names)
+def _texts(known: DataFrame) -> DataFrame:
+    """The distinct texts, each with the least doc_id of its rows, whose row tells it."""
+    return stash(known.groupBy(*TEXT).agg(F.min("doc_id").alias("rep")), "texts")
 
 
-def repeated_spans(known: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(known: DataFrame, texts: DataFrame, length: int = LENGTH, coded: bool = False) -> DataFrame:
     """(th, tm, tn, spans): for every distinct text that has some, its repeated byte spans, array<struct<lo,hi>>,
-    neither ordered nor joined."""
-    shape = "key long, frag long, th long, tm int, tn int, doc_id long, start int, windows int"
-    found = known.where(F.octet_length("text") >= length).select("text", *TEXT, "doc_id").mapInArrow(_anchored(length), shape)
-    found = found.groupBy("key", "frag", *TEXT, "start", "windows").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    twice = found.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key")
-    live = stash(found.join(twice, "key"), "live")
-
-    whole = live.groupBy("key", "frag").agg(F.sum("n").alias("n"), F.min(F.struct(*TEXT, "doc_id", "start", "windows")).alias("at"))
-    kinds = whole.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = stash(whole.join(kinds, "key", "left").select("key", "frag", "n", "at", F.coalesce("kinds", F.lit(1)).alias("kinds")), "whole")
+    neither ordered nor joined; with `coded` those of its words' codes. texts: those of known."""
+    # A word takes a byte at least, and a space stands between two.
+    long = known.where(F.octet_length("text") >= (2 * length // CODE - 1 if coded else length))
+    place = F.pmod(F.xxhash64(*TEXT, "start"), F.lit(PARTS)).cast("int")
+    found = long.select("text", *TEXT).mapInArrow(_anchored(length, coded), "key long, frag long, th long, tm int, tn int, start int, windows int").withColumn("place", place)
+    found = found.repartition("key", "place").groupBy("key", "place", "frag", *TEXT, "start", "windows").agg(F.count("*").alias("n"))
+    live = stash(beside_group(found, ["key"], "place", {"times": (F.sum("n"), F.sum("times"))}, "times > 1", dealt=True).drop("times"), "live")
+
+    # One row for each fragment, with the parts that hold its places, and how many fragments its anchor has.
+    at = F.min(F.struct(*TEXT, "start", "windows", "place")).alias("at")
+    whole = live.groupBy("key", "frag").agg(F.sum("n").alias("n"), at, F.collect_set("place").alias("places")).withColumn("slot", F.pmod("frag", F.lit(PARTS)).cast("int"))
+    whole = stash(beside_group(whole, ["key"], "slot", {"kinds": (F.count("*"), F.sum("kinds"))}, "kinds > 0"), "whole")
 
     parts = F.ceil(F.col("kinds") / SHARD_FRAGMENTS).cast("long")
-    asked = whole.where("kinds > 1").select("key", "frag", "n", parts.alias("parts"), F.pmod(F.xxhash64("frag"), parts).alias("part"), "at.*").withColumn("length", F.lit(length))
-    asked = stash(asked.groupBy(*TEXT, F.col("doc_id").alias("rep")).agg(F.collect_list(F.struct("key", "frag", "n", "parts", "part", "start", "windows", "length")).alias("wanted")), "asked")
+    asked = whole.where("kinds > 1").select("key", "frag", "n", parts.alias("parts"), F.pmod(F.xxhash64("frag"), parts).alias("part"), "at.*")
+    asked = asked.groupBy(*TEXT).agg(F.collect_list(F.struct("key", "frag", "n", "parts", "part", "start", "windows")).alias("wanted"))
+    asked = stash(asked.join(texts, TEXT), "asked")
     row = lambda doc_id: F.xxhash64(*TEXT, doc_id)
-    near = may_have(known.where(F.octet_length("text") >= length), row("doc_id"), bits_of(asked, row("rep"))).where("may")
+    bits = bits_of(asked, row("rep"))
+    near = may_have(long, row("doc_id"), bits).where("may")
     bodies = near.join(asked.withColumnsRenamed({c: f"_{c}" for c in TEXT}), [*(F.col(c) == F.col(f"_{c}") for c in TEXT), F.col("doc_id").eqNullSafe(F.col("rep"))]).select("text", "wanted")
-    bodies = bodies.mapInArrow(_cut_out, "key long, frag long, n long, parts long, part long, windows int, body binary").dropDuplicates(["key", "frag"])
+    bodies = bodies.mapInArrow(_cut_out(length, coded), "key long, frag long, n long, parts long, part long, windows int, body binary").dropDuplicates(["key", "frag"])
     shards = bodies.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "frag", "n", "parts", "windows", "body")
     told = stash(shards.mapInArrow(_sharded(length), "key long, frag long, lo int, hi int, bucket long, packed binary"), "told")
+    unstash(asked), unstash(bits)
     looked = told.where("bucket is not null").select("key", "bucket", "packed").repartition("key", "bucket").sortWithinPartitions("key", "bucket").mapInArrow(_looked_up, "key long, frag long, lo int, hi int")
 
     # A window that stands for a run in its shard and is found in another: so is the whole run's content, but each
     # fragment of the run is already marked there, or the window is alone in its run.
     partial = told.where("bucket is null").select("key", "frag", "lo", "hi").union(looked)
-    full = whole.where("n > 1").select("key", "frag", F.lit(0).alias("lo"), F.col("at.windows").alias("hi"))
-    marked = full.union(partial.join(whole.where("n > 1").select("key", "frag"), ["key", "frag"], "left_anti"))
-    spans = live.join(marked, ["key", "frag"]).select(*TEXT, F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")).alias("span"))
-    return spans.groupBy(*TEXT).agg(F.collect_list("span").alias("spans"))
+    full = whole.where("n > 1").select("key", "frag", F.explode("places").alias("place"), F.lit(0).alias("lo"), F.col("at.windows").alias("hi"))
+    marked = full.union(partial.join(whole.where("n = 1").select("key", "frag", F.col("at.place").alias("place")), ["key", "frag"]).select("key", "frag", "place", "lo", "hi"))
+    spans = live.join(marked, ["key", "frag", "place"]).select(*TEXT, F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")).alias("span"))
+    spans = stash(spans.groupBy(*TEXT).agg(F.collect_list("span").alias("spans")), "spans")
+    for table in (live, whole, told):
+        unstash(table)
+    return spans
+
+
+def all_spans(known: DataFrame, length: int, words: int | None) -> DataFrame:
+    """(th, tm, tn, spans, coded): the repeated byte spans of each distinct text, and with `words` those of its codes."""
+    texts = _texts(known)
+    spans, none = repeated_spans(known, texts, length), F.lit(None).cast("array<struct<lo:int,hi:int>>")
+    if not words:
+        unstash(texts)
+        return spans.withColumn("coded", none)
+    coded = repeated_spans(known, texts, words * CODE, coded=True)
+    both = spans.withColumn("coded", none).unionByName(coded.select(*TEXT, none.alias("spans"), F.col("spans").alias("coded")))
+    out = stash(both.groupBy(*TEXT).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("coded")).alias("coded")), "spans")
+    unstash(spans), unstash(coded), unstash(texts)
+    return out
 
 
 def joined_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -354,10 +394,12 @@ def _cut(text: str | None, spans: list[dict] | None) -> tuple[bytes, bytes, int]
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cuts = [_cut(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        doc_id, texts, spans, coded = batch.columns
+        cuts = [_cut(*x) for x in zip(texts.to_pylist(), spans.to_pylist(), strict=True)]
         rows = [(len(body), len(body) - len(kept), n, kept) for body, kept, n in cuts]
         columns = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        repeated = pa.array([bool(a or b) for a, b in zip(spans.to_pylist(), coded.to_pylist(), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([doc_id, *columns, repeated], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "repeated"])
 
 
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,35 +413,32 @@ def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(own, batch.schema.names[:-2]).filter(left)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of docs(doc_id, text, ...), kept binary.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, repeated) of every row of docs(doc_id, text, ...), kept binary.
 
-    A byte goes if a string of `length` bytes that covers it also starts anywhere else in the input. A null text is
-    empty; texts shorter than `length` stay whole; rows that repeat a text repeat all its windows. A row's doc_id
-    may be null or repeated. Other columns are ignored. No rows: no rows."""
+    A byte goes if a string of `length` bytes that covers it also starts anywhere else in the input. `repeated` says
+    that some do, or with `words` that so many words following one another stand elsewhere too. A null text is
+    empty; texts shorter than `length` stay whole; rows that repeat a text repeat all its windows; a text of any length
+    is compared whole, in overlapping runs. A row's doc_id may be null or repeated. Other columns are ignored. No rows:
+    no rows. Of grams with equal hashes the leftmost is the anchor, so ties don't depend on where a window stands."""
     known = _known(docs)
-    spans = stash(repeated_spans(known, length), "spans")
+    spans = all_spans(known, length, words)
     marked = may_have(known, F.xxhash64(*TEXT), bits_of(spans, F.xxhash64(*TEXT)))
-    cut = marked.where("may").join(spans, TEXT, "left").select("doc_id", "text", "spans").mapInArrow(_kept, KEPT)
-    whole = marked.where("not may").select("doc_id", F.col("tn").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    cut = marked.where("may").join(spans, TEXT, "left").select("doc_id", "text", "spans", "coded").mapInArrow(_kept, KEPT)
+    zero = F.lit(0).cast("long")
+    whole = marked.where("not may").select("doc_id", F.col("tn").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), F.lit(False).alias("repeated"))
     return whole.union(cut)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
-    """docs with the repeated bytes, and with `words` the repeated passages of so many words or more, taken out of its texts, and n_chars, if there, counted anew. A character that
-    loses some of its bytes goes; so does a document of which nothing is left. A row that repeats a doc_id gets
-    the text that its own text leaves. Columns are those of docs.
+    """docs with the repeated bytes, and with `words` the repeated passages of so many words or more, taken out of its
+    texts, and n_chars, if there, counted anew. A character that loses some of its bytes goes; so does a document of
+    which nothing is left. A row that repeats a doc_id gets the text that its own text leaves. Columns are those of docs.
 
-    Words are what white space parts, known by 48 bits of their hash; the white space between them may differ."""
+    Words are what white space parts, known by 32 bits of their hash; the white space between them may differ. Null and
+    empty texts stay as they are; a text of any length is compared whole. No rows: no rows."""
     known = _known(docs)
-    spans, none = repeated_spans(known, length), F.lit(None).cast("array<struct<lo:int,hi:int>>")
-    if words:
-        coded = known.select("doc_id", *TEXT, "text").mapInArrow(_coded, "doc_id long, th long, tm int, tn int, text string")
-        both = spans.withColumn("coded", none).unionByName(repeated_spans(coded, words * CODE).select(*TEXT, none.alias("spans"), F.col("spans").alias("coded")))
-        spans = both.groupBy(*TEXT).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("coded")).alias("coded"))
-    else:
-        spans = spans.withColumn("coded", none)
-    spans = stash(spans, "spans")
+    spans = all_spans(known, length, words)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.withColumns({"_th": F.xxhash64(text), "_tm": F.hash(text), "_tn": F.octet_length(text)})
     keys = [f"_{c}" for c in TEXT]
@@ -412,5 +451,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = N
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and `repeated`: a passage of 400 bytes or of 51 words stands elsewhere too."""
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), LENGTH, WORDS)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "repeated")
