@@ -24,6 +24,8 @@ from nestwright.llm.common import slices
 
 #: Entries that a worker remembers of pieces and of pairs of tokens before it starts anew.
 PIECES, PAIRS = 100_000, 200_000
+#: Bytes of text whose ids are held at once where they are returned.
+CHECKED_BYTES = 1 << 18
 
 
 class Vocabulary:
@@ -238,6 +240,24 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "d
     return encoded.select(kept).mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with token_ids, n_tokens and decodes more: the ids, their number, and whether decoding them gives the text
+    back. One worker does both, so that the vocabulary is there once. A null or empty text has no ids and decodes to
+    nothing; a text of any length is encoded whole. Columns called like the new ones are replaced. No rows: no rows."""
+    kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "decodes")]
+    schema = docs.select(kept).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "int").add("decodes", "boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _encoder(path, pattern)
+        for batch in slices(batches, text, CHECKED_BYTES):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            ids = [own.encode(t) for t in texts]
+            same = [own.vocabulary.decode(x) == (t or "").encode() for t, x in zip(texts, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int32()), pa.array(same, pa.bool_())], schema.names)
+
+    return docs.select(kept).mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: the encoding, and the decoding of its ids."""
 
