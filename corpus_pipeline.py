@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nestwright.llm import byte_bpe, decontamination, ngram_jaccard, quality, suffix_dedup
 from nestwright.llm.common import stash
 
 #: A passage counts as repeated here from so many bytes, whatever its words, or so many words, however short.
-PASSAGE, WORDS = 256, 51
+PASSAGE, WORDS = suffix_dedup.LENGTH, suffix_dedup.WORDS
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +35,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids, their number, and whether decoding them gives the text back."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return decoded.select(*docs.columns, "token_ids", F.size("token_ids").alias("n_tokens"), same.alias("decodes"))
+    return byte_bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
