@@ -100,7 +100,8 @@ def _bytes(texts: pa.Array, coded: bool) -> tuple[np.ndarray, np.ndarray]:
     if not coded:
         return data, offsets
     starts, ends, first = word_spans(data, offsets)
-    return _hashes(_prefix_sums(data), starts, ends).astype(np.uint32).view(np.uint8), first * CODE
+    codes = _hashes(_prefix_sums(data), starts, ends).astype(np.uint32).view(np.uint8)
+    return np.maximum(codes, 1), first * CODE
 
 
 def _anchored(length: int, coded: bool):
@@ -124,38 +125,46 @@ def _anchored(length: int, coded: bool):
     return run
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes in order. Larsson-Sadakane: suffixes are grouped by their first bytes; each round
-    doubles how many count, and sorts only within groups that are not yet single."""
+def _eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there as one number, zeros beyond the end."""
     n = len(data)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = data
-    first = np.zeros(n, np.uint64)
+    out = np.zeros(n, np.uint64)
     for k in range(8):
-        first |= padded[k : k + n] << np.uint64(56 - 8 * k)
+        out |= padded[k : k + n] << np.uint64(56 - 8 * k)
+    return out
+
+
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes in order. Larsson-Sadakane: suffixes are grouped by their first bytes; each round
+    sorts only within groups that are not yet single, by the groups of the suffixes that stand one depth further on,
+    and two where three groups fit into one number, so that the depth doubles or triples."""
+    n = len(data)
+    first = _eights(data)
     # A zero byte and the end look alike here, so the ends of the shorter suffixes are told apart by their length.
-    order = np.lexsort((np.minimum(n - np.arange(n), 8), first))
+    order = np.argsort(first) if data.all() else np.lexsort((np.minimum(n - np.arange(n), 8), first))
     ordered, lengths = first[order], np.minimum(n - order, 8)
     new = np.ones(n, bool)
     new[1:] = (ordered[1:] != ordered[:-1]) | (lengths[1:] != lengths[:-1])
-    starts = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    rank[order] = starts
-    depth = 8
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    depth, times = 8, 3 if n + 1 < 1 << 21 else 2
     places = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(places):
         suffix = order[places]
-        group = rank[suffix]
-        further = suffix + depth
-        second = np.where(further < n, rank[np.minimum(further, n - 1)], -1)
-        by = np.argsort(group * (n + 1) + second + 1, kind="stable")
-        suffix, group, second = suffix[by], group[by], second[by]
+        value = rank[suffix]
+        for k in range(1, times):
+            further = suffix + k * depth
+            value = value * (n + 1) + np.where(further < n, rank[np.minimum(further, n - 1)], -1) + 1
+        by = np.argsort(value, kind="stable")
+        suffix, value = suffix[by], value[by]
         order[places] = suffix
         new = np.ones(len(places), bool)
-        new[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
+        new[1:] = value[1:] != value[:-1]
         rank[suffix] = places[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))]
         places = places[~(new & np.append(new[1:], True))]
-        depth *= 2
+        depth *= times
     return order
 
 
@@ -174,14 +183,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     fresh[rest] = data[rest - 1] != data[before[rest] - 1]
     a = np.flatnonzero(fresh & (before >= 0))
     b, count = before[a], np.zeros(len(a), np.int64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    eights = np.append(_eights(data), np.uint64(0))
     active = np.arange(len(a))
     limit = n - np.maximum(a, b)
     while len(active):
-        i, j = a[active] + count[active], b[active] + count[active]
-        unlike = words[np.minimum(i, n)] != words[np.minimum(j, n)]
-        same = np.where(unlike.any(1), unlike.argmax(1), 8)
+        unlike = eights[np.minimum(a[active] + count[active], n)] ^ eights[np.minimum(b[active] + count[active], n)]
+        same = np.zeros(len(active), np.int64)
+        for k in range(8):
+            same += unlike < np.uint64(1 << 8 * k)
         count[active] = np.minimum(count[active] + same, limit[active])
         active = active[(same == 8) & (count[active] < limit[active]) & (count[active] < most + n)]
     full = np.zeros(n, np.int64)

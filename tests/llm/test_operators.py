@@ -89,7 +89,7 @@ def test_the_pipeline_takes_out_repeated_passages_of_51_words(spark):
 
     rng = random.Random(6)
     short = lambda n: " ".join(rng.choice("abcdefgé") for _ in range(n))
-    repeated, less, long = short(51), short(50), "".join(rng.choice("xyz") for _ in range(300))
+    repeated, less, long = short(51), short(50), "".join(rng.choice("xyz") for _ in range(420))
     own = [f"{words(rng, 8)} start{i}" for i in range(12)]
     ends = [f"{i}end {words(rng, 8)}" for i in range(12)]
     texts, want = [], []
