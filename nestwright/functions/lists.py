@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column
@@ -23,17 +24,25 @@ def _checked_names(names: Any, count: int) -> list[str]:
     return names
 
 
+def _name_of(expr: Any) -> str | None:
+    """The name that a list goes by, where it says one: its own, a column's or an alias."""
+    if isinstance(expr, str):
+        return expr.rpartition(".")[2]
+    said = re.fullmatch(r"Column<'(?:.* AS )?([\w.`]+)'>", repr(expr)) if isinstance(expr, Column) else None
+    return said and said[1].strip("`").rpartition(".")[2]
+
+
 def list_zip(*exprs: Any, pad: bool = False, fields: Any = None) -> Column:
     """Arrays to one array of structs: as long as the shortest, or padded with nulls to the longest.
 
     A null array gives null; null elements are values like others. Without `fields` the inputs' names are the fields'
-    names; inputs that aren't names but columns should be given `fields`, since Spark tells their names only later."""
+    names, which must differ; columns that are made of others should be given `fields`, since Spark names them only later."""
     flag("pad", pad)
     if len(exprs) < 2:
         raise ValueError("list_zip needs at least two lists")
     columns = [loose(e) for e in exprs]
     if fields is None:
-        known = [e.rpartition(".")[2] for e in exprs if isinstance(e, str)]
+        known = [name for e in exprs if (name := _name_of(e)) is not None]
         if len(set(known)) != len(known):
             raise ValueError("field names must be unique; give fields")
         zipped = F.arrays_zip(*columns)

@@ -30,77 +30,78 @@ def _decay(p: Any) -> float:
     return p
 
 
-def _weights(array: Column, p: float) -> Column:
-    """A map of item to weight: each item's first place counts, and nulls are left out.
+def _total(array: Column, p: float) -> Column:
+    """The sum of the weights of a list's items, of which each counts at its first place."""
+    weight = lambda k: F.when(k.isNotNull(), F.pow(F.lit(p), F.array_position(array, k) - 1)).otherwise(0.0)
+    return F.aggregate(F.array_distinct(array), F.lit(0.0), lambda total, k: total + weight(k))
 
-    Floats are told apart by their text, which parts 0.0 from -0.0 and joins NaN with NaN."""
-    keys = F.array_distinct(F.filter(array, lambda x: x.isNotNull()))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.pow(F.lit(p), F.array_position(array, k) - 1)))
 
-
-def _ratio(a: Column, b: Column, wa: Column, wb: Column) -> Column:
-    """The similarity of two lists whose weights are known; the union is in the order of first sight."""
-    keys = F.filter(F.array_union(a, b), lambda k: k.isNotNull())
-    zero = F.lit(0.0)
-
-    def add(acc: Column, k: Column) -> Column:
-        x, y = F.coalesce(F.try_element_at(wa, k), zero), F.coalesce(F.try_element_at(wb, k), zero)
-        return F.struct((acc["n"] + F.least(x, y)).alias("n"), (acc["d"] + F.greatest(x, y)).alias("d"))
-
-    return F.aggregate(keys, F.struct(zero.alias("n"), zero.alias("d")), add, lambda acc: F.when(acc["d"] == 0, F.lit(1.0)).otherwise(acc["n"] / acc["d"]))
+def _ratio(a: Column, b: Column, total: Column, p: float) -> Column:
+    """The similarity of two lists whose weights add up to `total`: the lesser weight of an item that both have is that
+    of its later place, and the greater weights are what the lesser ones leave of the total. Lists without items: 1."""
+    lesser = lambda k: F.when(k.isNotNull(), F.pow(F.lit(p), F.greatest(F.array_position(a, k), F.array_position(b, k)) - 1)).otherwise(0.0)
+    return F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda n, k: n + lesser(k), lambda n: F.coalesce(F.try_divide(n, total - n), F.lit(1.0)))
 
 
 def _comparable(array: Column, nested: bool = False) -> tuple[Column, Column]:
-    """Whether the items are floats, and their texts, by which those are compared."""
+    """Whether the items are floats, and their texts, by which those are compared: that parts 0.0 from -0.0 and joins
+    NaN with NaN."""
     kind = F.typeof(array)
     floats = kind.rlike("^array<" + ("array<" if nested else "") + "(float|double)>")
     return floats, (F.transform(array, lambda xs: F.transform(xs, lambda x: x.cast("string"))) if nested else F.transform(array, lambda x: x.cast("string")))
 
 
-def _same_types(a: Column, b: Column) -> Column:
-    """True if the element types are equal or either is void; a constant, which folds away."""
+def _checked(a: Column, b: Column, nested: bool, score: Column, kind: str) -> Column:
+    """The score, or an error of the query if items aren't scalars or the two differ in type (void fits any type). The
+    conditions are constants, which fold away."""
     kinds = F.typeof(a), F.typeof(b)
-    return (kinds[0] == kinds[1]) | kinds[0].contains("void") | kinds[1].contains("void")
+    deep = "^array<" + "array<" * nested + "(array|struct|map)<"
+    same = (kinds[0] == kinds[1]) | kinds[0].contains("void") | kinds[1].contains("void")
+    unlike = F.raise_error(F.concat(F.lit("lists must have the same element type: "), kinds[0], F.lit(", "), kinds[1])).cast(kind)
+    odd = F.raise_error(F.concat(F.lit("list items must be scalars: "), kinds[0], F.lit(", "), kinds[1])).cast(kind)
+    return F.when(kinds[0].rlike(deep) | kinds[1].rlike(deep), odd).when(same, score).otherwise(unlike)
 
 
-def _guarded(a: Column, b: Column, score: Column) -> Column:
-    wrong = F.raise_error(F.concat(F.lit("lists must have the same element type: "), F.typeof(a), F.lit(", "), F.typeof(b)))
-    return F.when(_same_types(a, b), score).otherwise(wrong.cast("double"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once for each row."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _pair(a: Column, b: Column, p: float) -> Column:
-    return _ratio(a, b, _weights(a, p), _weights(b, p))
+    # Both lists take the type that they have in common, which matters to a void one.
+    both = F.struct(F.coalesce(a, b).alias("a"), F.coalesce(b, a).alias("b"))
+    return _let(both, lambda s: _ratio(s["a"], s["b"], _total(s["a"], p) + _total(s["b"], p), p))
 
 
 def list_similarity(list_a: Any, list_b: Any, p: float = 0.9) -> Column:
     """The similarity of two array columns, a double; null if either is null; 1.0 if neither has an item.
 
-    Element types must be equal (a void array fits any); others are an error of analysis or of the query."""
+    Items must be scalars, and their types equal (a void array fits any); others are an error of analysis or of the query."""
     a, b = strict(list_a, _HINT), strict(list_b, _HINT)
     p = _decay(p)
     floats, texts = _comparable(a)
     score = F.when(floats, _pair(texts, _comparable(b)[1], p)).otherwise(_pair(a, b, p))
-    return named(F.when(a.isNotNull() & b.isNotNull(), _guarded(a, b, score)), list_a)
+    return named(F.when(a.isNotNull() & b.isNotNull(), _checked(a, b, False, score, "double")), list_a)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value made once for each row."""
-    return F.transform(F.array(value), body)[0]
+def _weighed(lists: Column, p: float) -> Column:
+    """Every inner list with its place and its total, which is made once and serves all pairs."""
+    return F.transform(lists, lambda x, i: F.struct(x.alias("l"), i.alias("i"), _total(x, p).alias("t")))
 
 
-def _mean(own: Column, others: Column) -> Column:
-    """The mean similarity of a list to others, all of them {list, weights} structs; null if there are none."""
-    total = F.aggregate(others, F.lit(0.0), lambda acc, o: acc + _ratio(own["l"], o["l"], own["w"], o["w"]))
+def _mean(own: Column, others: Column, p: float) -> Column:
+    """The mean similarity of a list to others, all of them structs as _weighed makes; null if there are none."""
+    total = F.aggregate(others, F.lit(0.0), lambda acc, o: acc + _ratio(own["l"], o["l"], own["t"] + o["t"], p))
     return F.when(F.size(others) > 0, total / F.size(others))
 
 
-def _weighed(lists: Column, p: float) -> Column:
-    """Every inner list with its place and its weights, which are made once and serve all pairs."""
-    return F.transform(lists, lambda x, i: F.struct(x.alias("l"), i.alias("i"), _weights(x, p).alias("w")))
+def _mean_similarity(lists: Column, p: float) -> Column:
+    return _let(F.filter(_weighed(lists, p), lambda x: x["l"].isNotNull()), lambda held: F.transform(lists, lambda x, i: F.when(x.isNotNull(), _others_mean(held, i, p))))
 
 
-def _mean_similarity(lists: Column, p: float) -> Column:
-    return _let(_weighed(lists, p), lambda held: F.transform(held, lambda x: F.when(x["l"].isNotNull(), _mean(x, F.filter(held, lambda y: y["l"].isNotNull() & (y["i"] != x["i"]))))))
+def _others_mean(held: Column, i: Column, p: float) -> Column:
+    """The mean similarity of the list at place i to the others."""
+    return _let(F.filter(held, lambda y: y["i"] == i)[0], lambda own: _mean(own, F.filter(held, lambda y: y["i"] != i), p))
 
 
 def list_mean_similarity(lists: Any, p: float = 0.9) -> Column:
@@ -110,12 +111,13 @@ def list_mean_similarity(lists: Any, p: float = 0.9) -> Column:
     column = strict(lists, _HINT)
     p = _decay(p)
     floats, texts = _comparable(column, nested=True)
-    return named(F.when(floats, _mean_similarity(texts, p)).otherwise(_mean_similarity(column, p)), lists)
+    score = F.when(floats, _let(texts, lambda x: _mean_similarity(x, p))).otherwise(_let(column, lambda x: _mean_similarity(x, p)))
+    return named(F.when(column.isNotNull(), _checked(column, column, True, score, "array<double>")), lists)
 
 
 def _mean_similarity_to(targets: Column, references: Column, p: float) -> Column:
-    others = F.filter(_weighed(references, p), lambda y: y["l"].isNotNull())
-    return _let(others, lambda held: F.transform(_weighed(targets, p), lambda x: F.when(x["l"].isNotNull(), _mean(x, held))))
+    others = F.filter(_weighed(F.coalesce(references, F.slice(targets, 1, 0)), p), lambda y: y["l"].isNotNull())
+    return _let(others, lambda held: F.transform(_weighed(F.coalesce(targets, references), p), lambda x: F.when(x["l"].isNotNull(), _mean(x, held, p))))
 
 
 def list_mean_similarity_to(lists: Any, reference_lists: Any, p: float = 0.9) -> Column:
@@ -126,9 +128,7 @@ def list_mean_similarity_to(lists: Any, reference_lists: Any, p: float = 0.9) ->
     p = _decay(p)
     floats, texts = _comparable(targets, nested=True)
     score = F.when(floats, _mean_similarity_to(texts, _comparable(references, nested=True)[1], p)).otherwise(_mean_similarity_to(targets, references, p))
-    wrong = F.raise_error(F.concat(F.lit("lists must have the same element type: "), F.typeof(targets), F.lit(", "), F.typeof(references))).cast("array<double>")
-    score = F.when(_same_types(targets, references), F.coalesce(score, F.transform(targets, lambda x: F.lit(None).cast("double")))).otherwise(wrong)
-    return named(F.when(targets.isNotNull(), score), lists)
+    return named(F.when(targets.isNotNull(), _checked(targets, references, True, score, "array<double>")), lists)
 
 
 def _item_key(item: Any) -> Any:

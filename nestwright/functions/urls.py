@@ -92,16 +92,22 @@ def url_query_encode(expr: Any, *, doseq: bool = False, kind: str = "auto") -> C
     Scalars are written as Python writes them: None, True, numbers. A list in a struct is repeated pairs with `doseq`,
     none if it is empty, else its text in brackets; `doseq` doesn't touch key/value arrays. Null gives null, a null key
     is an error. A mapping of names to columns is taken as a struct that is never null. A bare column doesn't tell its
-    type, so it goes through an Arrow function; with kind="pairs" it is taken as a key/value array, and with
-    with_url_query() a struct's type is known: both are plain Spark expressions."""
+    type, so it goes through an Arrow function; with kind="pairs" it is taken as a key/value array, with kind="plain" a
+    mapping's columns as strings, integers, booleans or dates, and with with_url_query() a struct's type is known: these
+    are plain Spark expressions, but for floats in key/value arrays, which Spark writes otherwise."""
     flag("doseq", doseq)
-    if kind not in ("auto", "pairs"):
-        raise ValueError("kind must be 'auto' or 'pairs'")
+    if kind not in ("auto", "pairs", "plain"):
+        raise ValueError("kind must be 'auto', 'pairs' or 'plain'")
     if isinstance(expr, Mapping):
-        return _fields_query([(name, loose(value), None) for name, value in expr.items()], doseq)
+        fields = [(name, loose(value)) for name, value in expr.items()]
+        if kind == "plain" or not fields:
+            return _fields_query([(name, value, None) for name, value in fields], doseq)
+        return F.arrow_udf(_arrow_query(doseq), "string")(F.struct(*(value.alias(name) for name, value in fields)))
     column = loose(expr)
     if kind == "pairs":
-        return named(_pairs_query(column), expr)
+        # The type is a constant when the query is planned, so only one of the two branches is left.
+        floats = F.typeof(column).rlike("value:(float|double)")
+        return named(F.when(floats, F.arrow_udf(_arrow_query(doseq), "string")(column)).otherwise(_pairs_query(column)), expr)
     return named(F.arrow_udf(_arrow_query(doseq), "string")(column), expr)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,10 +64,12 @@ def pairs_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_custkey, lists): every customer's orders in order, each as its suppliers modulo 50 in order."""
+    """(o_custkey, lists, ended): every customer's orders in order, each as its suppliers modulo 50 in order, and those of
+    the orders with status F."""
     own = lines(spark, sf_dir).select("l_orderkey", F.transform(F.col("ls.l_suppkey"), lambda s: s % 50).alias("s"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(own, F.col("o_orderkey") == F.col("l_orderkey"))
-    return orders.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "s"))), lambda x: x["s"]).alias("lists"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(own, F.col("o_orderkey") == F.col("l_orderkey"))
+    held = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "s"))).alias("held"))
+    return held.select("o_custkey", F.col("held.s").alias("lists"), F.filter("held", lambda x: x["o_orderstatus"] == "F")["s"].alias("ended"))
 
 
 _WEIGHTS = """l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {line}) - 1 AS i FROM lineitem),
@@ -93,16 +96,16 @@ SELECT k AS l_orderkey, round(sum(least(a, b)) / sum(greatest(a, b)), 6) AS scor
 def _means(to: bool) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = customers(spark, sf_dir)
-        score = N.list_mean_similarity_to("lists", F.slice("lists", 1, 2)) if to else N.list_mean_similarity("lists")
+        score = N.list_mean_similarity_to("lists", "ended") if to else N.list_mean_similarity("lists")
         return own.select("o_custkey", F.posexplode(score).alias("pos", "score")).select("o_custkey", "pos", F.round("score", 6).alias("score"))
 
     return query
 
 
 def _means_sql(to: bool) -> str:
-    other = "b.pos < 2" if to else "a.pos <> b.pos"
+    other = "b.o_orderstatus = 'F'" if to else "a.pos <> b.pos"
     return f"""WITH {_WEIGHTS.format(line=', '.join(LINE), p=0.9)},
-o AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_orderkey IN (SELECT k FROM w)),
+o AS (SELECT o_custkey, o_orderstatus, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_orderkey IN (SELECT k FROM w)),
 t AS (SELECT k, sum(w) AS total FROM w GROUP BY 1),
 pair AS (SELECT a.o_custkey, a.pos, a.k AS ka, b.k AS kb, b.pos AS other FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND {other}),
 m AS (SELECT pair.o_custkey, pair.pos, pair.other, sum(least(x.w, y.w)) AS shared FROM pair JOIN w x ON x.k = ka JOIN w y ON y.k = kb AND y.x = x.x GROUP BY ALL),
@@ -118,6 +121,36 @@ def game(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("l_orderkey", F.round(N.expected_value_of_game(F.concat(states, nothing)), 6).alias("value"))
 
 
+def game_of_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line is a state with two actions: on to the next line with probability 0.5, or to the end with 0.25."""
+    own = lines(spark, sf_dir)
+    action = lambda p, v, n: F.struct(F.lit(p).alias("probability"), v.alias("value"), n.cast("long").alias("next_state"))
+    states = F.transform("ls", lambda l, i: F.array(action(0.5, l["l_quantity"], i + 1), action(0.25, 100 * l["l_discount"], F.size("ls"))))
+    nothing = F.transform(F.array(F.lit(0)), lambda _: F.filter(states[0], lambda a: F.lit(False)))
+    return own.select("l_orderkey", F.round(N.expected_value_of_game(F.concat(states, nothing)), 6).alias("value"))
+
+
+def plain_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of list_similarity by the function on plain sequences, a batch of rows at a time."""
+    own = lines(spark, sf_dir).select("l_orderkey", F.transform(F.col("ls.l_suppkey"), lambda s: s % 50).alias("s"))
+    both = own.join(own.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("s").alias("following")), "l_orderkey")
+
+    def score(batches):
+        for batch in batches:
+            scores = [N.py_list_similarity(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["l_orderkey", "score"])
+
+    return both.mapInArrow(score, "l_orderkey long, score double").select("l_orderkey", F.round("score", 6).alias("score"))
+
+
+def installed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """list_zip_pad by the methods that install() adds to columns."""
+    N.install()
+    own = lines(spark, sf_dir).select("l_orderkey", F.col("ls.l_partkey").alias("parts"), F.filter(F.col("ls.l_suppkey"), lambda s: s % 2 == 0).alias("even"))
+    pairs = own.select("l_orderkey", F.posexplode(F.col("parts").list.zip(F.col("even"), pad=True, fields=["part", "supp"])).alias("pos", "z"))
+    return pairs.select("l_orderkey", "pos", F.col("z.part").alias("part"), F.col("z.supp").alias("supp"))
+
+
 def _entries(text: Column) -> Column:
     return F.explode(N.json_object_items(text))
 
@@ -139,6 +172,13 @@ def query_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.with_url_query(own, "q").select("p_partkey", F.col("q").alias("query"))
 
 
+def query_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A struct column of an unknown type, and a mapping with a list and a float."""
+    own = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice", F.struct(F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), (F.col("p_size") > 25).alias("big")).alias("q"))
+    mapping = {"t": F.split("p_type", " "), "price": F.col("p_retailprice")}
+    return own.select("p_partkey", N.url_query_encode("q").alias("query"), N.url_query_encode(mapping, doseq=True).alias("mapped"))
+
+
 def query_doseq(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "part").select("p_partkey", F.struct(F.split("p_type", " ").alias("t"), F.col("p_brand").alias("b")).alias("q"))
     both = N.with_url_query(N.with_url_query(own, "q", "query", doseq=True), "q", "plain")
@@ -164,7 +204,7 @@ def union_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.where("o_orderstatus = 'F'").select("o_orderpriority", "o_orderkey"),
         orders.where("o_orderstatus not in ('O', 'F')").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_custkey"),
     ]
-    return dfs_to_lazy_df(batches, T.StructType.fromDDL("o_orderkey bigint, o_orderpriority string, o_totalprice double")).where("o_orderkey % 7 < 5")
+    return dfs_to_lazy_df(batches, T.StructType.fromDDL("o_orderkey bigint, o_orderpriority string, o_totalprice double"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -178,10 +218,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "list_similarity_p1": _similar(1.0),
     "list_mean_similarity": _means(False),
     "list_mean_similarity_to": _means(True),
+    "py_list_similarity": plain_similarity,
+    "installed_methods": installed,
     "expected_value_of_game": game,
+    "expected_value_of_game_actions": game_of_actions,
     "json_object_items": json_items,
     "json_array_values": json_values,
     "url_query_encode_struct": query_struct,
+    "url_query_encode_column": query_column,
     "url_query_encode_doseq": query_doseq,
     "url_query_encode_pairs": query_pairs,
     "url_build": url,
@@ -190,27 +234,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _QUOTED = "replace(url_encode({0}), '%20', '+')"
+_PADDED = f"WITH {_ORDERED} SELECT l.l_orderkey, CAST(l.i AS INT) AS pos, l.l_partkey AS part, e.l_suppkey AS supp FROM l LEFT JOIN e ON e.l_orderkey = l.l_orderkey AND e.i = l.i"
 ORACLE_SQL: dict[str, str] = {
     "list_zip_trunc": f"WITH {_ORDERED} SELECT l.l_orderkey, CAST(l.i AS INT) AS pos, l.l_partkey AS part, e.l_suppkey AS supp FROM l JOIN e ON e.l_orderkey = l.l_orderkey AND e.i = l.i",
-    "list_zip_pad": f"WITH {_ORDERED} SELECT l.l_orderkey, CAST(l.i AS INT) AS pos, l.l_partkey AS part, e.l_suppkey AS supp FROM l LEFT JOIN e ON e.l_orderkey = l.l_orderkey AND e.i = l.i",
+    "list_zip_pad": _PADDED,
     "list_combinations": _pairs_sql("a.i <= b.i"),
     "list_combinations_skip_self": _pairs_sql("a.i < b.i"),
     "list_combinations_skip_null": _pairs_sql("a.i <= b.i AND a.x IS NOT NULL AND b.x IS NOT NULL"),
     "list_combinations_to": f"WITH {_ORDERED} SELECT a.l_orderkey, CAST(a.i AS INT) AS left_index, CAST(b.i AS INT) AS right_index, a.l_partkey AS part, b.l_suppkey AS supp FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey",
     "list_similarity": _similar_sql(0.9),
     "list_similarity_p1": _similar_sql(1.0),
+    "py_list_similarity": _similar_sql(0.9),
+    "installed_methods": _PADDED,
     "list_mean_similarity": _means_sql(False),
     "list_mean_similarity_to": _means_sql(True),
     "expected_value_of_game": f"WITH {_ORDERED} SELECT l_orderkey, round(sum(pow(0.5, i + 1) * l_quantity), 6) AS value FROM l GROUP BY 1",
+    "expected_value_of_game_actions": f"WITH {_ORDERED} SELECT l_orderkey, round(sum(pow(0.5, i) * (0.5 * l_quantity + 25 * l_discount)), 6) AS value FROM l GROUP BY 1",
     "json_object_items": """WITH t AS (SELECT event_id AS id, props::JSON AS j FROM events UNION ALL SELECT o_orderkey, json_object('c', o_custkey, 'p', o_orderpriority, 'l', [o_orderstatus, o_orderpriority]) FROM orders)
 SELECT t.id, e.key, e.value->>'$' AS value FROM t, json_each(t.j) e""",
     "json_array_values": """SELECT o_orderkey, CAST(i AS INT) AS pos, [o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR)][i + 1] AS value FROM orders, unnest([0, 1, 2]) u(i)
 UNION ALL SELECT event_id, NULL, NULL FROM events""",
     "url_query_encode_struct": f"SELECT p_partkey, 'name=' || {_QUOTED.format('p_name')} || '&size=' || p_size || '&big=' || CASE WHEN p_size > 25 THEN 'True' ELSE 'False' END || '&type=' || CASE WHEN p_size > 10 THEN {_QUOTED.format('p_type')} ELSE 'None' END AS query FROM part",
+    "url_query_encode_column": f"""SELECT p_partkey, 'name=' || {_QUOTED.format('p_name')} || '&price=' || p_retailprice || '&big=' || CASE WHEN p_size > 25 THEN 'True' ELSE 'False' END AS query,
+list_aggregate(list_transform(string_split(p_type, ' '), lambda x: 't=' || {_QUOTED.format('x')}), 'string_agg', '&') || '&price=' || p_retailprice AS mapped FROM part""",
     "url_query_encode_doseq": f"""SELECT p_partkey, list_aggregate(list_transform(string_split(p_type, ' '), lambda x: 't=' || {_QUOTED.format('x')}), 'string_agg', '&') || '&b=' || {_QUOTED.format('p_brand')} AS query,
 't=' || {_QUOTED.format("('[' || list_aggregate(list_transform(string_split(p_type, ' '), lambda x: '''' || x || ''''), 'string_agg', ', ') || ']')")} || '&b=' || {_QUOTED.format('p_brand')} AS plain FROM part""",
     "url_query_encode_pairs": f"SELECT n_nationkey, 'name=' || {_QUOTED.format('n_name')} || '&k~%2A=' || n_nationkey || '&name=' || n_regionkey AS query FROM nation",
     "url_build": "SELECT page_id, url FROM pages",
-    "dfs_to_lazy_df": "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 7 < 5",
+    "dfs_to_lazy_df": "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS o_totalprice FROM orders",
     **typed.ORACLE_SQL,
 }

@@ -7,10 +7,13 @@ from functools import reduce
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith,
+)
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
@@ -57,23 +60,74 @@ def _table(batch: Any) -> pa.Table:
     return batch if isinstance(batch, pa.Table) else pa.Table.from_pandas(batch, preserve_index=False)
 
 
-def batch_source(spark: SparkSession, makers: list[Callable[[], Iterable[Any]]], schema: T.StructType | str, batch_size: int | None = None, name: str = "nestwright_batches") -> DataFrame:
+_COMPARED = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal, StringStartsWith: pc.starts_with, StringEndsWith: pc.ends_with, StringContains: pc.match_substring}
+
+
+def _mask(table: pa.Table, asked: Any) -> Any:
+    """Which rows of a table a pushed filter keeps; null where it can't tell, as SQL has it."""
+    if isinstance(asked, Not):
+        return pc.invert(_mask(table, asked.child))
+    column = table.column(asked.attribute[0])
+    if isinstance(asked, IsNull):
+        return column.is_null()
+    if isinstance(asked, IsNotNull):
+        return column.is_valid()
+    if isinstance(asked, In):
+        return pc.if_else(column.is_valid(), pc.is_in(column, pa.array(asked.value, column.type)), None)
+    return _COMPARED[type(asked)](column, asked.value)
+
+
+def _understood(asked: Any, schema: T.StructType) -> bool:
+    """Whether _mask() means by a filter what Spark does: comparisons of whole numbers, strings and booleans, and nulls."""
+    if isinstance(asked, Not):
+        return _understood(asked.child, schema)
+    if type(asked) not in (*_COMPARED, In, IsNull, IsNotNull) or len(asked.attribute) != 1:
+        return False
+    if isinstance(asked, (IsNull, IsNotNull)):
+        return True
+    values = asked.value if isinstance(asked, In) else [asked.value]
+    return isinstance(schema[asked.attribute[0]].dataType, (T.IntegralType, T.StringType, T.BooleanType)) and all(isinstance(v, (int, str, bool)) for v in values)
+
+
+def batch_source(spark: SparkSession, makers: list[Callable[[], Iterable[Any]]], schema: T.StructType | str, batch_size: int | None = None, name: str = "nestwright_batches", columns: list[str] | None = None) -> DataFrame:
     """A source of batches that are made on the executors: each maker is a partition and yields Arrow tables, record
-    batches or pandas frames, which never meet in one place. `batch_size` cuts larger batches, and joins none."""
+    batches or pandas frames, which never meet in one place. `batch_size` cuts larger batches, and joins none. No makers
+    give no rows.
+
+    Filters on whole numbers, strings, booleans and nulls are applied to a batch before it leaves its worker, where the
+    session has spark.sql.python.filterPushdown.enabled, then and when the query runs. Spark doesn't tell such a source which columns are wanted:
+    `columns` names those of the schema that are made."""
     if batch_size is not None and batch_size <= 0:
         raise ValueError("batch_size must be positive")
     declared = _schema(schema)
+    if columns is not None:
+        declared = T.StructType([declared[c] for c in columns])
+    if not makers:
+        return spark.createDataFrame([], declared)
     arrow = to_arrow_schema(declared)
 
     class Reader(DataSourceReader):
+        asked: list = []
+
         def partitions(self) -> list[InputPartition]:
             return [_Piece(i) for i in range(len(makers))]
 
         def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
             for batch in makers[partition.value]():
                 table = _table(batch)
-                columns = [table.column(f.name).cast(f.type) if f.name in table.column_names else pa.nulls(table.num_rows, f.type) for f in arrow]
-                yield from pa.Table.from_arrays(columns, schema=arrow).to_batches(batch_size)
+                own = [table.column(f.name).cast(f.type) if f.name in table.column_names else pa.nulls(table.num_rows, f.type) for f in arrow]
+                table = pa.Table.from_arrays(own, schema=arrow)
+                for f in self.asked:
+                    table = table.filter(_mask(table, f))
+                yield from table.to_batches(batch_size)
+
+    class Filtering(Reader):
+        def pushFilters(self, filters: list) -> Iterable[Any]:
+            self.asked = [f for f in filters if _understood(f, declared)]
+            return [f for f in filters if not _understood(f, declared)]
+
+    # Spark takes a reader that filters for an error where the setting is off.
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
 
     class Source(DataSource):
         @classmethod
@@ -84,7 +138,7 @@ def batch_source(spark: SparkSession, makers: list[Callable[[], Iterable[Any]]],
             return declared
 
         def reader(self, schema: T.StructType) -> DataSourceReader:
-            return Reader()
+            return Filtering() if pushes else Reader()
 
     spark.dataSource.register(Source)
     return spark.read.format(name).load()

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any, get_args, get_origin, get_type_hints
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from nestwright.typed import dtypes
@@ -104,6 +105,19 @@ class Builder:
     def for_model(cls, model: type, *, schema: type[Schema]) -> Builder:
         return get_builder(model, schema)
 
+    def to_frame(self, row: Any, *, context: Context | None = None, strict: bool = True, spark: SparkSession | None = None) -> DataFrame:
+        """A record of this model as a frame of one row."""
+        return self.to_frame_many([row], context=context, strict=strict, spark=spark)
+
+    def to_frame_many(self, rows: Iterable[Any], *, context: Context | None = None, strict: bool = True, spark: SparkSession | None = None) -> DataFrame:
+        return self.schema.to_frame_many(self.model, rows, context=context, strict=strict, spark=spark)
+
+    def from_frame(self, frame: DataFrame, *, strict_schema: bool = False) -> Any:
+        return self.schema.from_frame(self.model, frame, strict_schema=strict_schema)
+
+    def iter_frame(self, frame: DataFrame, *, strict_schema: bool = False) -> Iterator[Any]:
+        return self.schema.iter_frame(self.model, frame, strict_schema=strict_schema)
+
     def _below(self, field: Field) -> list[Field]:
         """The fields under a nested one that its own model selects."""
         builder: Builder = self

@@ -228,8 +228,9 @@ class Schema(metaclass=SchemaMeta):
         return _builder(cls, model).spark_schema(context)
 
     @classmethod
-    def to_frame(cls, row: Any, *, context: Context | None = None, spark: SparkSession | None = None) -> DataFrame:
-        return cls.to_frame_many(type(row), [row], context=context, spark=spark)
+    def to_frame(cls, row: Any, *, context: Context | None = None, strict: bool = True, spark: SparkSession | None = None) -> DataFrame:
+        """The record as a frame of one row."""
+        return cls.to_frame_many(type(row), [row], context=context, strict=strict, spark=spark)
 
     @classmethod
     def to_frame_many(cls, model: type, rows: Iterable[Any], *, context: Context | None = None, strict: bool = True, spark: SparkSession | None = None) -> DataFrame:

@@ -16,7 +16,14 @@ def test_every_sql_has_a_query():
 
 
 def test_the_rest_works_without_the_training_data_part(tmp_path):
+    from nestwright.plans import queries as core
+
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
-    shutil.copytree(f"{ROOT}/nestwright", tmp_path / "nestwright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
-    assert said.returncode == 0 and said.stdout.split() == ["20", "20"], said.stderr
+    for folder, left in (("nestwright", "llm"), ("tests", "llm")):
+        shutil.copytree(f"{ROOT}/{folder}", tmp_path / folder, ignore=shutil.ignore_patterns(left, "__pycache__"))
+    run = lambda *args: subprocess.run([sys.executable, *args], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    said = run("-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))")
+    assert said.returncode == 0 and said.stdout.split() == [str(len(core.QUERIES)), str(len(core.ORACLE_SQL))], said.stderr
+    # The other tests are found, and those that need no session long pass.
+    assert run("-m", "pytest", "tests", "--collect-only", "-q").returncode == 0
+    assert run("-m", "pytest", "tests/test_sources.py", "-q", "-p", "no:cacheprovider").returncode == 0

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from nestwright import functions as N
@@ -35,3 +36,17 @@ def test_functions_apply_to_streams(spark, tmp_path):
         assert [(round(r.s, 6), r.n) for r in spark.table("scores").collect()] == [(round(1.8 / 2, 6), 3)]
     finally:
         query.stop()
+
+
+def test_names_and_types_are_checked(spark):
+    df = spark.createDataFrame([(1, [3, 4], "x")], "_list int, a array<int>, left_index string")
+    with pytest.raises(ValueError, match="left_index"):
+        explode_combinations(df, "a")
+    assert explode_combinations(df.drop("left_index"), "a").count() == 3
+    lists = spark.createDataFrame([(1, [1], ["1"], [[1]], [0.0], [-0.0])], "id int, a array<int>, b array<string>, c array<array<int>>, d array<double>, e array<double>")
+    for a, b in (("a", "b"), ("c", "c"), ("id", "a")):
+        with pytest.raises(TypeError):
+            similarity_of_long_lists(lists, "id", a, b)
+    with pytest.raises(ValueError):
+        similarity_of_long_lists(lists, "id", "a", "a", 2)
+    assert similarity_of_long_lists(lists, "id", "d", "e").first().score == 0.0

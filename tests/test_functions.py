@@ -274,3 +274,31 @@ def test_the_url_query_keeps_long_paths(spark, tmp_path):
     urls = ["https://a.b/" + "x/" * 1500 + "end?q=1#f", "https://a.b/p", "https://a.b/", "https://a.b//p"]
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     assert [r.url for r in QUERIES["url_build"](spark, str(tmp_path)).orderBy("page_id").collect()] == urls
+
+
+def test_zip_tells_columns_of_one_name_apart(spark):
+    for first, second in (("a", F.col("a")), (F.col("a"), F.col("a")), (F.col("b").alias("a"), F.col("t.a"))):
+        with pytest.raises(ValueError, match="unique"):
+            N.list_zip(first, second)
+    df = spark.createDataFrame([([1], [2])], LISTS)
+    assert rows(df.select(N.list_zip(F.col("a"), F.col("b")).alias("x"))) == [[(1, 2)]]
+
+
+def test_similarity_takes_scalars_only(spark):
+    df = spark.createDataFrame([([[1]], [[[1]]], [(1,)])], "a array<array<int>>, b array<array<array<int>>>, c array<struct<x:int>>")
+    for score in (N.list_similarity("a", "a"), N.list_similarity("c", "c"), N.list_mean_similarity("b"), N.list_mean_similarity_to("b", "b")):
+        with pytest.raises(Exception, match="must be scalars"):
+            df.select(score).collect()
+    empty = spark.createDataFrame([([1, 2],)], "a array<int>")
+    assert rows(empty.select(N.list_similarity("a", F.array()).alias("x"))) == [0.0]
+
+
+def test_mappings_and_pairs_write_lists_and_floats_as_python_does(spark):
+    df = spark.createDataFrame([(["a", "b"], 1e10, 2.5, None)], "t array<string>, x double, y float, n int")
+    assert rows(df.select(N.url_query_encode({"t": "t", "x": "x", "n": "n"}, doseq=True).alias("x"))) == ["t=a&t=b&x=10000000000.0&n=None"]
+    assert rows(df.select(N.url_query_encode({"t": "t"}).alias("x"))) == ["t=%5B%27a%27%2C+%27b%27%5D"]
+    assert rows(df.select(N.url_query_encode({"n": "n", "s": F.lit("a b")}, kind="plain").alias("x"))) == ["n=None&s=a+b"]
+    pairs = F.array(F.struct(F.lit("k").alias("key"), F.col("x").alias("value")))
+    assert rows(df.select(N.url_query_encode(pairs, kind="pairs").alias("x"))) == ["k=10000000000.0"]
+    plan = spark.range(1).select(N.url_query_encode(F.array(F.struct(F.lit("k").alias("key"), F.col("id").alias("value"))), kind="pairs"))._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan

@@ -37,3 +37,18 @@ def test_makers_run_on_the_executors(spark):
     assert sorted(r.id for r in df.collect()) == [0, 1, 2, 10, 11, 12] and df.where("score is null").count() == 6
     with pytest.raises(ValueError):
         batch_source(spark, [], SCHEMA, batch_size=0)
+
+
+def test_filters_are_applied_where_batches_are_made(spark):
+    table = pa.table({"id": [1, 2, None, 4], "name": ["ab", None, "cd", "ad"], "score": [0.5, 1.5, 2.5, None]})
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = batch_source(spark, [lambda: [table]], SCHEMA)
+        for where, ids in (("id > 1", [2, 4]), ("id is null", [None]), ("name like 'a%' and id in (1, 2)", [1]), ("not id = 1", [2, 4]), ("score > 1", [2, None]), ("name <=> null", [2]), ("id not in (2, 4)", [1])):
+            assert [r.id for r in df.where(where).collect()] == ids, where
+        plan = df.where("id > 1")._jdf.queryExecution().executedPlan().toString()
+        assert "Filter (" not in plan.replace("isnotnull(id", "") or "(id#" not in plan.split("Filter")[1].split("\n")[0].replace("isnotnull(id#", "")
+        assert batch_source(spark, [lambda: [table]], SCHEMA, columns=["score", "id"]).columns == ["score", "id"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert batch_source(spark, [], SCHEMA).collect() == [] and batch_source(spark, [], SCHEMA).columns == ["id", "name", "score"]
