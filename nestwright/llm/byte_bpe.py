@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 from nestwright.llm.common import slices
 
-#: Entries that a worker remembers of pieces and of pairs of tokens before it starts anew.
-PIECES, PAIRS = 100_000, 200_000
+#: Entries of a generation of remembered pieces, of which a worker holds two, and of pairs of tokens before it starts anew.
+PIECES, PAIRS = 150_000, 200_000
 #: Bytes of text whose ids are held at once where they are returned.
 CHECKED_BYTES = 1 << 18
 
@@ -97,7 +98,7 @@ class Vocabulary:
         begin = max(0, done + 1 - self.reach)
         pairs, adjoin, lengths = self.pairs, self.adjoin, self.lengths
         for end, token in self.ends.iter(data[begin:].decode("latin-1")):
-            if (end := end + begin) < len(last):
+            if (end := end + begin) < done:
                 continue
             start = end + 1 - lengths[token]
             if start:
@@ -107,6 +108,7 @@ class Vocabulary:
                 if not fits:
                     continue
             last.append(token)
+            done += 1
         if len(last) < len(data):
             raise ValueError("no token ends some prefix; the ranks aren't those of byte-level BPE")
         return last
@@ -172,32 +174,47 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(read_ranks(path))
 
 
+class _Pieces(dict):
+    """Ids by piece, made when first asked for. When a generation is full the one before it is forgotten, so that what
+    is asked for again and again stays."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.older = vocabulary, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.vocabulary.encode_piece(piece.encode())
+        if len(piece) < 64:
+            if len(self) >= PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids: each match of the pattern by itself, remembered while it lasts."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.vocabulary, self.find, self.known = vocabulary(path), regex.compile(pattern).findall, {}
+        self.vocabulary, self.find = vocabulary(path), regex.compile(pattern).findall
+        self.known = _Pieces(self.vocabulary)
         # In an ASCII text the letters, digits and white space are these, and the plain matcher is faster.
         for name, plain in ((r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"), (r"\s", r"[\t-\r ]"), (r"\S", r"[^\t-\r ]")):
             pattern = pattern.replace(name, plain)
         self.find_ascii = self.find if "\\p" in pattern or "\\s" in pattern else re.compile(pattern).findall
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known = self.known
+    def pieces(self, text: str | None) -> list[str]:
         text = text or ""
-        for piece in (self.find_ascii if text.isascii() else self.find)(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= PIECES:
-                    known.clear()
-                ids = self.vocabulary.encode_piece(piece.encode())
-                if len(piece) < 64:
-                    known[piece] = ids
-            out += ids
-        return out
+        return (self.find_ascii if text.isascii() else self.find)(text)
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
+
+    def count(self, text: str | None) -> int:
+        return sum(map(len, map(self.known.__getitem__, self.pieces(text))))
 
 
 @cache
@@ -258,6 +275,21 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text")
     return docs.select(kept).mapInArrow(run, schema)
 
 
+def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+    """docs with the number of tokens in place of the text; a null or empty text has none."""
+    kept = [c for c in docs.columns if c not in (text, out)]
+    schema = docs.select(kept).schema.add(out, "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _encoder(path, pattern)
+        for batch in slices(batches, text):
+            at = batch.schema.get_field_index(text)
+            n = pa.array(map(own.count, batch.column(at).to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), n], schema.names)
+
+    return docs.select(*kept, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: the encoding, and the decoding of its ids."""
 
