@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from labelled text: an ordinary one from the words of ordinary documents, and
-a toxic one that puts words of toxic documents before the same content. A text is cut into windows of words; each
-is compressed with both. What the toxic dictionary saves is close to nothing on ordinary windows, since both hold
-the ordinary words, and several bytes where a window has toxic words. A text's largest savings, how many windows
-save, and its length are calibrated to a score by a logistic curve fitted on the labelled documents.
+Two zstandard dictionaries are trained on windows of labelled text: one on ordinary documents, and one on what toxic
+documents say that ordinary ones don't, that is their words that stand far more often in toxic documents. Trained on all
+of their words the trainer spends the dictionary on syllables that both kinds share. A text is cut into windows of
+words; each is compressed with the ordinary dictionary's content, and with that of the toxic one before it. What the
+second saves is close to nothing on ordinary windows and several bytes where a window has toxic words. A text's
+largest savings, how many windows save, and its length are calibrated to a score by a logistic curve fitted on the
+labelled documents.
 """
 
 from __future__ import annotations
@@ -23,9 +25,15 @@ from nestwright.llm.common import crc_mod, slices
 
 #: Labelled documents of each class that the model is fitted on at most, those with the least hashed doc_id.
 FIT_DOCUMENTS = 3000
-#: Words in a window; compression level; words and bytes of the dictionaries at most.
+#: Words in a window; compression level.
 WINDOW, LEVEL = 8, 12
-TOXIC_WORDS, ORDINARY_WORDS, TOXIC_BYTES, ORDINARY_BYTES = 600, 4000, 8192, 24576
+#: Windows that a dictionary is trained on at most, those with the least hash, and bytes of one; longer words and windows
+#: are left out of training, though not of scoring.
+TRAIN_WINDOWS, WINDOW_BYTES, WORD_BYTES = 40_000, 1024, 64
+#: Words that count as toxic; bytes of the dictionaries; length of a trained segment and of what it is judged by.
+TOXIC_WORDS, TOXIC_BYTES, ORDINARY_BYTES, TOXIC_SEGMENT, ORDINARY_SEGMENT = 600, 1024, 32768, (24, 8), (64, 6)
+#: A dictionary is trained on so many times its bytes at least.
+LEAST_SHARE = 12
 #: A toxic word stands in at least this share of the toxic documents, and this many times more often than in ordinary ones.
 SHARE, TIMES = 0.015, 8
 
@@ -34,6 +42,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
+def windows_of(words: list[bytes]) -> list[bytes]:
+    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -58,9 +70,7 @@ class Model:
         if self._pair is None:
             self._pair = self._compressor(self.ordinary).compress, self._compressor(self.toxic + self.ordinary).compress
         plain, toxic = self._pair
-        words = words_of(text)
-        windows = [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
-        return np.array([len(plain(w)) - len(toxic(w)) for w in windows], float)
+        return np.array([len(plain(w)) - len(toxic(w)) for w in windows_of(words_of(text))], float)
 
     def features(self, text: str | None) -> list[float]:
         saved = self.savings(text)
@@ -96,17 +106,41 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         words, toxic = [], []
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {w for w in words_of(text) if len(w) <= 64}
+            own = {w for w in words_of(text) if len(w) <= WORD_BYTES}
             words.extend(own)
             toxic.extend([label] * len(own))
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic, pa.int32())], ["word", "toxic"])
 
 
+def _windows(texts: DataFrame, kept: set[bytes] | None) -> list[bytes]:
+    """The TRAIN_WINDOWS windows with the least hash, of `kept` words only if these are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [w for t in batch.column(0).to_pylist() for w in windows_of([x for x in words_of(t) if kept is None or x in kept])]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in own if len(w) <= WINDOW_BYTES], pa.binary())], ["window"])
+
+    return texts.select("text").mapInArrow(run, "window binary").orderBy(F.xxhash64("window"), "window").limit(TRAIN_WINDOWS).toArrow()["window"].to_pylist()
+
+
+def trained(windows: list[bytes], size: int, segment: tuple[int, int]) -> bytes:
+    """The dictionary that zstandard trains on the windows. Text of less than LEAST_SHARE times its size is too little to
+    train on: the end of it is the dictionary then."""
+    try:
+        if sum(map(len, windows)) < LEAST_SHARE * size:
+            raise ValueError
+        return zstandard.train_dictionary(size, windows, k=segment[0], d=segment[1]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(windows)[-size:] or b" "
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from docs(doc_id, text) and labels(doc_id, toxic); rows without an id or a label of 0 or 1 don't count,
-    and an id with both labels counts as toxic. Without both classes the score is the share of toxic labels.
+    an id with both labels counts as toxic, and so does a text that stands with both. Without both classes the score is
+    the share of toxic labels.
 
-    What reaches the driver is bounded: two lists of words and the features of 2 * FIT_DOCUMENTS documents."""
+    What reaches the driver is bounded: a list of words, TRAIN_WINDOWS windows of each class, and the features of
+    2 * FIT_DOCUMENTS documents."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     seen = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = seen.get(1, 0) / max(1, sum(seen.values()))
@@ -114,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(b" ", b" ", share=share)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic = 0").orderBy(*by_hash).limit(FIT_DOCUMENTS).union(known.where("toxic = 1").orderBy(*by_hash).limit(FIT_DOCUMENTS))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic").dropDuplicates(["text"])
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     sample = sample.persist()
     try:
         sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -123,8 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         in_toxic, in_plain = F.col("n1") / bad, (F.col("n0") + 0.5) / plain
         gain = in_toxic * F.log(in_toxic / in_plain)
         worst = counts.where((F.col("n1") >= max(2, SHARE * bad)) & (in_toxic > TIMES * in_plain)).orderBy(gain.desc(), "word").limit(TOXIC_WORDS).select("word").toArrow()["word"].to_pylist()
-        usual = counts.where("n0 > 1").orderBy(F.desc("n0"), "word").limit(ORDINARY_WORDS).select("word").toArrow()["word"].to_pylist()
-        model = Model(_content(usual, ORDINARY_BYTES), _content(worst, TOXIC_BYTES), share=share)
+        ordinary = trained(_windows(sample.where("toxic = 0"), None), ORDINARY_BYTES, ORDINARY_SEGMENT)
+        model = Model(ordinary, trained(_windows(sample.where("toxic = 1"), set(worst)), TOXIC_BYTES, TOXIC_SEGMENT), share=share)
 
         def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -145,20 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def _content(words: list[bytes], most: int) -> bytes:
-    """The words with the most important last, where they are cheapest to refer to."""
-    kept, size = [], 0
-    for word in words:
-        if size + len(word) + 1 > most:
-            break
-        kept.append(word)
-        size += len(word) + 1
-    return b" " + b" ".join(kept[::-1]) + b" "
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of each row of docs(doc_id, text, ...); a null or empty text gets what the curve gives for no
-    windows. Only the text is looked at. Other columns are ignored."""
+    windows. A text of any length is scored whole; rows with equal texts score alike. Only the text is looked at. Other
+    columns are ignored. No rows: no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
