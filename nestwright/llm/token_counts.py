@@ -11,10 +11,12 @@ import re
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestwright.llm.common import shared_folder, stash
+from nestwright.llm import byte_bpe
+from nestwright.llm.common import beside_group, shared_folder, stash, unstash
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
@@ -23,14 +25,20 @@ SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 WORD = r"[^ \t\n\x0B\f\r]+"
 
 
+#: The versions that the query counts: a tokenizer by its rank file, and words between ASCII white space.
+BPE, WORDS = "byte_bpe_50k", "words-1"
+#: Parts into which the rows of one text are dealt.
+PARTS = 64
+
+
 def words_1(text: Column) -> Column:
     """Tokenizer `words-1`: runs of other than ASCII white space; 0 for a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def chars_4(text: Column) -> Column:
-    """Tokenizer `chars-4`: a token for every four characters begun, an estimate; 0 for a null text."""
-    return F.coalesce(F.ceil(F.length(text) / 4), F.lit(0)).cast("long")
+def estimate(n_chars: Column) -> Column:
+    """A token for every four characters begun: what a document counts until its tokens are."""
+    return F.ceil(n_chars / 4).cast("long")
 
 
 def deltas(counted: DataFrame, tokenizer: str, tokens: Column, sign: int = 1, docs: int = 1, chars: Column | None = None) -> DataFrame:
@@ -49,25 +57,38 @@ class Ledger:
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
     def committed(self) -> list[str]:
-        """The names of the batches that are there as a whole."""
+        """The names of the batches that are there; a batch comes by a rename, as a whole."""
         files, top = self._file(self.path)
         if not files.exists(top):
             return []
-        return sorted(s.getPath().getName()[6:] for s in files.listStatus(top) if s.getPath().getName().startswith("batch-") and self._whole(s.getPath().getName()[6:]))
+        return sorted(s.getPath().getName()[6:] for s in files.listStatus(top) if s.getPath().getName().startswith("batch-"))
 
-    def _whole(self, batch: str) -> bool:
-        files, marker = self._file(f"{self.path}/batch-{batch}/_SUCCESS")
-        return files.exists(marker)
+    def _there(self, batch: str) -> bool:
+        files, path = self._file(f"{self.path}/batch-{batch}")
+        return files.exists(path)
 
     def commit(self, batch: str, *changes: DataFrame) -> bool:
-        """Commits the sums of the changes under this name; False, and nothing done, if the name is taken. What a
-        failed commit left is written over. A name is letters, digits, `_`, `-` and `.`."""
+        """Commits the sums of the changes under this name; False, and nothing changed, if the name is taken, also by
+        another writer meanwhile. The sums are written beside the ledger and then renamed, which a file system does
+        once or not at all; what a failed commit leaves is never read. A name is letters, digits, `_`, `-` and `.`."""
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError(f"not a name for a batch: {batch!r}")
-        if self._whole(batch):
+        if self._there(batch):
             return False
         rows = reduce(DataFrame.unionByName, (c.select(*KEYS, *SUMS) for c in changes))
-        rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
+        own = f"{self.path}/new-{uuid.uuid4().hex}"
+        rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).write.parquet(own)
+        files, path = self._file(own)
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
+        try:
+            context.rename(path, jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch-{batch}"), options)
+        except Py4JJavaError as error:
+            if not self._there(batch):
+                raise error
+            files.delete(path, True)
+            return False
         return True
 
     def totals(self) -> DataFrame:
@@ -79,37 +100,34 @@ class Ledger:
         return sums.where(" or ".join(f"{c} != 0" for c in SUMS))
 
 
-def maintained(docs: DataFrame, path: str) -> DataFrame:
-    """The rollup of docs(doc_id, text, lang, source, ...) after four commits: estimated counts of every document; the
-    exact counts in their place; that batch again, which changes nothing; and the removal of exact copies.
+def maintained(docs: DataFrame, path: str, ranks: str, pattern: str, tokenizer: str = BPE) -> DataFrame:
+    """The rollup of docs(doc_id, text, lang, source, ...) after four commits: every document, its words counted and its
+    tokens estimated; the counted tokens in their place; that batch again, which changes nothing; and the removal of
+    exact copies. The tokens are those of byte_bpe with the rank file and pattern.
 
-    Of rows with equal texts those with the least doc_id stay; null texts are no copies and have no tokens. n_chars is
-    counted from the text."""
+    Of rows with equal texts those with the least doc_id stay, all of them if they tie, and rows without an id too; null
+    texts are no copies and have no tokens. n_chars is counted from the text, which is read whole however long. Other
+    columns are ignored. No rows: no rows."""
     text = F.col("text").cast("string")
-    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), words_1(text).alias("exact"), chars_4(text).alias("guess"), F.xxhash64(text).alias("th"), F.hash(text).alias("tm"), F.octet_length(text).alias("tn"))
-    facts = stash(facts, "facts")
+    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), words_1(text).alias("words"), F.xxhash64(text).alias("th"), F.hash(text).alias("tm"), F.octet_length(text).alias("tn"), text.alias("text"))
+    facts = stash(byte_bpe.token_counts(facts, ranks, pattern, out="tokens"), "facts")
     ledger = Ledger(docs.sparkSession, path)
-    exact, guess = F.col("exact"), F.col("guess")
-    ledger.commit("insert", deltas(facts, "words-1", guess), deltas(facts, "chars-4", guess))
+    words, tokens, guess = F.col("words"), F.col("tokens"), estimate(F.col("n_chars"))
+    ledger.commit("insert", deltas(facts, WORDS, words), deltas(facts, tokenizer, guess))
     for _ in range(2):
-        ledger.commit("revise", deltas(facts, "words-1", exact - guess, docs=0, chars=F.lit(0)))
-    same = ["th", "tm", "tn"]
-    least = facts.where("tn is not null").groupBy(*same).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = facts.join(least, same).where("doc_id > least")
-    ledger.commit("delete", deltas(copies, "words-1", exact, sign=-1), deltas(copies, "chars-4", guess, sign=-1))
+        ledger.commit("revise", deltas(facts, tokenizer, tokens - guess, docs=0, chars=F.lit(0)))
+    # One text may have much of the rows: these are dealt to parts.
+    own = facts.where("tn is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    sums = {"least": (F.min("doc_id"), F.min("least")), "times": (F.count("*"), F.sum("times"))}
+    copies = beside_group(own, ["th", "tm", "tn"], "part", sums, "times > 1").where("doc_id > least")
+    ledger.commit("delete", deltas(copies, WORDS, words, sign=-1), deltas(copies, tokenizer, tokens, sign=-1))
+    unstash(facts)
     return ledger.totals()
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return maintained(docs, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
-
+    """The tokens of the 50k byte-level BPE vocabulary and the words of all documents but exact copies."""
+    import public_tokenizers
 
-ORACLE = r"""
-WITH d AS (SELECT doc_id, source, lang, text, length(coalesce(text, '')) AS chars,
-    len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS words,
-    text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text) AS copy FROM documents),
-t AS (SELECT source, lang, 'words-1' AS tokenizer, words AS tokens, chars FROM d WHERE NOT copy
-    UNION ALL SELECT source, lang, 'chars-4', (chars + 3) // 4, chars FROM d WHERE NOT copy)
-SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(tokens) AS BIGINT) AS n_tokens, CAST(sum(chars) AS BIGINT) AS n_chars
-FROM t GROUP BY source, lang, tokenizer"""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    return maintained(docs, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -363,19 +363,28 @@ def test_bpe_appends_and_edits():
 
 
 def test_token_counts(spark, tmp_path):
-    texts = ["a b c", "a b c", None, "", "d  e\n", "longer text here"]
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    texts = ["a b c", "a b c", None, "", "d  e\n", "longer text hère"] + ["a b c"] * 70
     docs = docs_of(spark, texts)
-    got = {(r.tokenizer): (r.n_docs, r.n_tokens, r.n_chars) for r in token_counts.maintained(docs, str(tmp_path / "a")).collect()}
-    assert got == {"words-1": (5, 3 + 0 + 0 + 2 + 3, 5 + 0 + 0 + 5 + 16), "chars-4": (5, 2 + 0 + 0 + 2 + 4, 26)}
+    kept = ["a b c", None, "", "d  e\n", "longer text hère"]
+    count = lambda path: token_counts.maintained(docs, path, RANKS, P.PATTERN)
+    want = {"words-1": (5, 3 + 0 + 0 + 2 + 3, 26), "byte_bpe_50k": (5, sum(len(library.encode_ordinary(t or "")) for t in kept), 26)}
+    for _ in range(2):  # again over the same ledger: nothing changes
+        assert {(r.tokenizer): (r.n_docs, r.n_tokens, r.n_chars) for r in count(str(tmp_path / "a")).collect()} == want
     ledger = token_counts.Ledger(spark, str(tmp_path / "a"))
     assert ledger.committed() == ["delete", "insert", "revise"]
     assert not ledger.commit("insert", token_counts.deltas(docs, "words-1", token_counts.words_1(docs.text)))
-    (tmp_path / "a" / "batch-torn").mkdir()
+    (tmp_path / "a" / "new-torn").mkdir()
     assert ledger.committed() == ["delete", "insert", "revise"]
     assert token_counts.Ledger(spark, str(tmp_path / "none")).totals().count() == 0
     with pytest.raises(ValueError):
         ledger.commit("a/b")
-    assert token_counts.maintained(empty(spark), str(tmp_path / "b")).count() == 0
+    # A writer that meant to commit a name that another has taken meanwhile.
+    late = token_counts.Ledger(spark, str(tmp_path / "a"))
+    late._there = lambda batch, seen=[]: len(seen) > 0 or seen.append(batch)
+    assert not late.commit("insert", token_counts.deltas(docs, "words-1", token_counts.words_1(docs.text)))
+    assert ledger.totals().count() == 2 and not [p for p in (tmp_path / "a").iterdir() if p.name.startswith("new-") and p.name != "new-torn"]
+    assert token_counts.maintained(empty(spark), str(tmp_path / "b"), RANKS, P.PATTERN).count() == 0
 
 
 # All of them on odd rows and on no rows.
