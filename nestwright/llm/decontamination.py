@@ -22,8 +22,10 @@ from nestwright.llm.common import FILTER_BITS, _BYTE, bits_of, may_have, mix, po
 MASKS = ("11101011", "110010111", "1101100101", "111111")
 #: Tokens of an agreement at least (all of a shorter item), and what a token that differs takes from one that agrees.
 TOKENS, MISMATCH, SCORE = 13, 2, 10
-#: An item of fewer tokens than this is too short to tell.
+#: An item of fewer tokens than this is found only where it is the whole text: inside of others it tells nothing.
 SHORTEST = 6
+#: Parts into which the documents' hits of one seed are dealt.
+PARTS = 16
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -49,7 +51,15 @@ _PLACES = np.random.Generator(np.random.PCG64(9)).integers(1, 2**63, 32, dtype=n
 
 
 def seeds(tokens: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each mask: (hash, text's number, place of its first token in the text) of the seeds inside a text."""
+    """For each mask: (hash, text's number, place of its first token in the text) of the seeds inside a text; and of each
+    text of fewer than SHORTEST tokens a hash of all of them."""
+    sizes = np.diff(first)
+    for n in range(1, SHORTEST):
+        text = np.flatnonzero(sizes == n)
+        value = np.full(len(text), len(MASKS) + n, np.uint64)
+        for k in range(n):
+            value += tokens[first[text] + k] * _PLACES[k]
+        yield mix(value), text, np.zeros(len(text), np.int64)
     for number, mask in enumerate(MASKS):
         n = len(tokens) - len(mask) + 1
         if n <= 0:
@@ -106,7 +116,9 @@ def agreement(document: np.ndarray, item: np.ndarray, offset: int) -> tuple[int,
 
 
 def agrees(score: int, tokens: int, item: int) -> bool:
-    """TOKENS tokens or more of which few differ; of a shorter item all but one."""
+    """TOKENS tokens or more of which few differ; of a shorter item all but one, of one below SHORTEST all."""
+    if item < SHORTEST:
+        return score == item
     return tokens >= min(TOKENS, item - 1) and score >= min(SCORE, item - 1 - MISMATCH)
 
 
@@ -121,9 +133,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple] = {}
             for hit in hits:
                 item = np.frombuffer(hit["tokens"], np.uint64)
-                found = agreement(own, item, hit["offset"])
-                if agrees(found[0], found[1], len(item)) and found > best.get(hit["item_id"], (0,)):
-                    best[hit["item_id"]] = found
+                if len(item) < SHORTEST and len(own) != len(item):
+                    continue
+                for offset in hit["offsets"]:
+                    found = agreement(own, item, offset)
+                    if agrees(found[0], found[1], len(item)) and found > best.get(hit["item_id"], (0,)):
+                        best[hit["item_id"]] = found
             rows += [(th, tn, item_id, n, score, start) for item_id, (score, n, start) in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["th", "tn", "item_id", "tokens", "score", "start"])
@@ -144,14 +159,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     overlaps, with the stretch's tokens, score and first token."""
     items = benchmark.where("text is not null").select(F.col("text").cast("string").alias("text"), F.col("item_id").cast("long").alias("item_id")).distinct()
     items = items.withColumn("item", F.xxhash64("text", "item_id"))
-    bodies = items.select("text", "item").mapInArrow(_itemised, "item long, tokens binary").where(F.octet_length("tokens") >= 8 * SHORTEST)
+    bodies = items.select("text", "item").mapInArrow(_itemised, "item long, tokens binary").where(F.octet_length("tokens") > 0)
     bodies = stash(bodies.join(items.select("item", "item_id"), "item"), "items")
     seeded = stash(items.select("text", "item").mapInArrow(_seeded(None), "seed long, place int, item long").join(bodies.select("item"), "item", "left_semi"), "seeds")
     known = _known(docs.where("text is not null").select(F.col("text").cast("string").alias("text")))
     hits = known.mapInArrow(_seeded(_bitmap(seeded)), "seed long, place int, th long, tn int")
-    hits = hits.join(seeded.select("seed", F.col("place").alias("item_place"), "item"), "seed").select("th", "tn", "item", (F.col("place") - F.col("item_place")).alias("offset")).distinct()
-    hits = hits.join(bodies, "item").groupBy("th", "tn").agg(F.collect_list(F.struct("item_id", "tokens", "offset")).alias("hits"))
-    hits = stash(hits, "hits")
+    # A phrase may stand in much of the corpus: its hits are dealt to parts, to each of which the items' seeds go.
+    sought = seeded.select("seed", F.col("place").alias("item_place"), "item", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    hits = hits.withColumn("part", F.pmod(F.xxhash64("th", "tn", "place"), F.lit(PARTS)).cast("int")).join(sought, ["seed", "part"])
+    hits = hits.select("th", "tn", "item", (F.col("place") - F.col("item_place")).alias("offset")).distinct()
+    # An item's tokens go along once for each text, not for each place.
+    hits = hits.groupBy("th", "tn", "item").agg(F.collect_list("offset").alias("offsets")).join(bodies, "item")
+    hits = stash(hits.groupBy("th", "tn").agg(F.collect_list(F.struct("item_id", "tokens", "offsets")).alias("hits")), "hits")
     texts = may_have(known, F.xxhash64("th", "tn"), bits_of(hits, F.xxhash64("th", "tn"))).where("may").select("text", "th", "tn").groupBy("th", "tn").agg(F.first("text").alias("text"))
     return texts.join(hits, ["th", "tn"]).mapInArrow(_verified, "th long, tn int, item_id long, tokens int, score int, start int")
 
@@ -159,12 +178,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, tokens) of each row of docs(doc_id, text, ...): whether its text
     overlaps an item of benchmark(item_id, text), which ones in order (a null id is not listed but counts), and the
-    tokens of the longest overlap. Null and empty texts overlap nothing; items of fewer than SHORTEST tokens are left
-    out; items that repeat count by id; an empty benchmark finds nothing. Other columns are ignored."""
-    found = stash(overlaps(docs, benchmark), "overlaps")
-    by = found.groupBy("th", "tn").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.count("*").alias("n_items"), F.max("tokens").alias("tokens"))
+    tokens of the longest overlap. Null and empty texts overlap nothing, nor do items without tokens; an item of fewer
+    than SHORTEST tokens is found where it is the whole text; items that repeat count by id; rows that repeat a text get
+    the same; of stretches that score alike the longest counts, then the last. A text of any length is gone through whole. An
+    empty benchmark finds nothing; no rows: no rows. Other columns are ignored."""
+    by = overlaps(docs, benchmark).groupBy("th", "tn").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.count("*").alias("n_items"), F.max("tokens").alias("tokens"))
+    by = stash(by, "overlaps")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(-1)).alias("tn"))
-    return rows.join(by, ["th", "tn"], "left").select(
+    marked = may_have(rows, F.xxhash64("th", "tn"), bits_of(by, F.xxhash64("th", "tn")))
+    # Only rows that may overlap are shuffled.
+    found = marked.where("may").join(by, ["th", "tn"], "left").select("doc_id", "n_items", "item_ids", "tokens")
+    none = marked.where("not may").select("doc_id", *(F.lit(None).cast(by.schema[c].dataType).alias(c) for c in ("n_items", "item_ids", "tokens")))
+    return found.union(none).select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("tokens", F.lit(0)).cast("int").alias("tokens")
     )
 
