@@ -3,7 +3,8 @@
 A gear hash of the last 32 bytes decides where a text is cut, so that an insertion moves no cut but those beside it.
 Cuts are normalised: below a chunk's normal size a stricter mask applies, above it a looser one. A fingerprint is the
 set of the chunks' digests, each with the bytes that its chunks have; likeness is the weight that two have in common
-over the weight of the lighter.
+over the weight of the lighter. In a text of about a kilobyte or less such chunks are too few to tell much, so it has
+finer ones as well, by a hash of the last 8 bytes; two texts that both have them are compared by these.
 """
 
 from __future__ import annotations
@@ -22,32 +23,38 @@ from nestwright.llm.common import slices
 
 #: Bytes of a chunk: least (the window of the hash), normal, most; bits of the masks below and above normal.
 LEAST, NORMAL, MOST, STRICT, LOOSE = 32, 64, 256, 7, 5
+#: The same of the finer chunks, which texts of fewer bytes than FINE_BELOW have too.
+FINE, FINE_BELOW = (8, 16, 64, 5, 3), 1024
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
-def rolled(data: np.ndarray) -> np.ndarray:
-    """At each byte the gear hash of it and the 31 before: the sum of their values, each shifted left by its distance."""
+def rolled(data: np.ndarray, window: int = LEAST) -> np.ndarray:
+    """At each byte the gear hash of it and those before in the window, a power of two: the sum of their values, each
+    shifted left by its distance."""
     out = _GEAR[data]
-    for k in (1, 2, 4, 8, 16):
+    k = 1
+    while k < window:
         if len(out) > k:
             out[k:] += out[:-k] << np.uint32(k)
+        k *= 2
     return out
 
 
-def cuts(hashes: np.ndarray) -> list[int]:
+def cuts(hashes: np.ndarray, sizes: tuple[int, int, int, int, int] | None = None) -> list[int]:
     """Ends of the chunks of one text, from the hashes at its bytes."""
+    least, normal, most, strict, loose = sizes or (LEAST, NORMAL, MOST, STRICT, LOOSE)
     n, out, start = len(hashes), [], 0
-    maybe = np.flatnonzero(hashes >> np.uint32(32 - LOOSE) == 0)
-    strict = (hashes[maybe] >> np.uint32(32 - STRICT) == 0).tolist()
-    for at, hard in zip((maybe + 1).tolist(), strict, strict=True):
-        while at - start > MOST:
-            start += MOST
+    maybe = np.flatnonzero(hashes >> np.uint32(32 - loose) == 0)
+    strictly = (hashes[maybe] >> np.uint32(32 - strict) == 0).tolist()
+    for at, hard in zip((maybe + 1).tolist(), strictly, strict=True):
+        while at - start > most:
+            start += most
             out.append(start)
-        if at - start >= (LEAST if hard else NORMAL):
+        if at - start >= (least if hard else normal):
             out.append(at)
             start = at
-    while n - start > MOST:
-        start += MOST
+    while n - start > most:
+        start += most
         out.append(start)
     if n > start:
         out.append(n)
@@ -55,14 +62,16 @@ def cuts(hashes: np.ndarray) -> list[int]:
 
 
 def chunks(text: str) -> dict[int, int]:
-    """Bytes by chunk digest (48 bits)."""
+    """Bytes by chunk digest (48 bits, of which the last is 1 for the finer chunks)."""
     body = text.encode()
+    data = np.frombuffer(body, np.uint8)
     out: dict[int, int] = {}
-    start = 0
-    for end in cuts(rolled(np.frombuffer(body, np.uint8))):
-        digest = xxhash.xxh3_64_intdigest(body[start:end]) >> 16
-        out[digest] = out.get(digest, 0) + end - start
-        start = end
+    for fine in (0, 1)[: 1 + (len(body) < FINE_BELOW)]:
+        start = 0
+        for end in cuts(rolled(data, FINE[0]), FINE) if fine else cuts(rolled(data)):
+            digest = xxhash.xxh3_64_intdigest(body[start:end]) >> 16 & ~1 | fine
+            out[digest] = out.get(digest, 0) + end - start
+            start = end
     return out
 
 
@@ -77,11 +86,12 @@ def parsed(text: str) -> dict[int, int]:
 
 
 def likeness(a: dict[int, int], b: dict[int, int]) -> float:
-    """0 to 1; 1 for two empty texts, 0 if only one is."""
-    least = min(sum(a.values()), sum(b.values()))
-    if not least:
+    """0 to 1, by the finer chunks where both have them; 1 for two empty texts, 0 if only one is."""
+    if not a or not b:
         return float(not a and not b)
-    return sum(min(w, b[d]) for d, w in a.items() if d in b) / least
+    fine = int(any(d & 1 for d in a) and any(d & 1 for d in b))
+    a, b = ({d: w for d, w in x.items() if d & 1 == fine} for x in (a, b))
+    return sum(min(w, b[d]) for d, w in a.items() if d in b) / min(sum(a.values()), sum(b.values()))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -155,8 +165,9 @@ def with_edits(docs: DataFrame) -> DataFrame:
     docs(doc_id, text, ...).
 
     The edited text has the next document's first characters in place of its own second half. Next is the row that
-    follows in descending order of doc_id, then of text, nulls last; after the last comes the first. A null text is
-    empty. One shuffle of the texts, by ranges of doc_id; no task sees more than its range and the row after it."""
+    follows in descending order of doc_id, then of text, nulls last; after the last comes the first. Rows that repeat
+    both are alike, so their order doesn't matter. A null text is empty; a text of any length is cut whole; no rows: no
+    rows. Other columns are ignored. One shuffle of the texts, by ranges of doc_id; no task sees more than its range and the row after it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(1, min(5000, 3 * parts))

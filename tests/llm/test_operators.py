@@ -199,6 +199,9 @@ def test_contaminated_documents_are_found(spark):
     bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "")], "item_id bigint, text string")
     got = {r.doc_id: r.item_ids for r in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
     assert got == {0: [0], 1: [0], 2: [4], 3: [], 4: [2], 5: [], 6: [], 7: [], 8: [], 9: [0, 1]}
+    # An item of three tokens is found where it is the whole text.
+    short = {r.doc_id: r.item_ids for r in decontamination.contaminated(docs_of(spark, [items[3].upper() + " !", items[3] + " more", items[3].split()[0], None]), bench).collect()}
+    assert short == {0: [3], 1: [], 2: [], 3: []}
     assert sorted(r.doc_id for r in decontamination.decontaminated(docs_of(spark, texts), bench).collect()) == [3, 5, 6, 7, 8]
     none = decontamination.contaminated(docs_of(spark, texts), bench.where("false")).collect()
     assert len(none) == len(texts) and not any(r.contaminated for r in none)
@@ -272,6 +275,11 @@ def test_fingerprints_and_edits(spark):
     assert fingerprints.likeness(fingerprints.chunks(long), fingerprints.chunks("inserted " + long)) > 0.95
     assert len(fingerprints.with_edits(odd_rows(spark)).collect()) == 7
     assert sum(fingerprints.chunks(long).values()) == len(long.encode())
+    for _ in range(40):  # short texts of which the first half is kept
+        text, other = words(rng, 50), words(rng, 50)
+        edited = text[: len(text) // 2] + other
+        near, far = (fingerprints.likeness(fingerprints.chunks(text), fingerprints.chunks(t)) for t in (edited, other))
+        assert near > 0.2 and far < 0.1
 
 
 def test_chunks_by_hand():
