@@ -262,7 +262,7 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text")
     back. One worker does both, so that the vocabulary is there once. A null or empty text has no ids and decodes to
     nothing; a text of any length is encoded whole. Columns called like the new ones are replaced. No rows: no rows."""
     kept = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "decodes")]
-    schema = docs.select(kept).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "int").add("decodes", "boolean")
+    schema = docs.select(kept).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.IntegerType()).add("decodes", T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(path, pattern)
