@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = stash(nodes.select("node", "rep").join(joined, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp")), "members")
     for table in (rest, links, more, joined, nodes):
         unstash(table)
-    names = least.join(least.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("node", "component_id")
+    names = beside_group(least.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS))), ["comp"], "part", {"component_id": (F.min("rep"), F.min("component_id"))}, "comp is not null").select("node", "component_id")
     out = described.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(names, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
