@@ -40,7 +40,7 @@ PLACE = 23
 #: Bytes that stand for a word where passages are counted in words: a hash of its own. Words of a passage.
 CODE, WORDS = 4, 51
 #: Parts into which the places of an anchor or a fragment are dealt.
-PARTS = 64
+PARTS = 256
 
 
 def _prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -357,8 +357,10 @@ def repeated_spans(known: DataFrame, texts: DataFrame, length: int = LENGTH, cod
     partial = told.where("bucket is null").select("key", "frag", "lo", "hi").union(looked)
     full = whole.where("n > 1").select("key", "frag", F.explode("places").alias("place"), F.lit(0).alias("lo"), F.col("at.windows").alias("hi"))
     marked = full.union(partial.join(whole.where("n = 1").select("key", "frag", F.col("at.place").alias("place")), ["key", "frag"]).select("key", "frag", "place", "lo", "hi"))
-    spans = live.join(marked, ["key", "frag", "place"]).select(*TEXT, F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")).alias("span"))
-    spans = stash(spans.groupBy(*TEXT).agg(F.collect_list("span").alias("spans")), "spans")
+    # Every place is kept by the join, so that its rows follow the input, however much of that is repeated.
+    span = F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi"))
+    spans = live.join(marked, ["key", "frag", "place"], "left").select(*TEXT, F.when(F.col("lo").isNotNull(), span).alias("span"))
+    spans = stash(spans.groupBy(*TEXT).agg(F.collect_list("span").alias("spans")).where(F.size("spans") > 0), "spans")
     for table in (live, whole, told):
         unstash(table)
     return spans
