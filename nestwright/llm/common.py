@@ -116,13 +116,14 @@ def unstash(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def beside_group(rows: DataFrame, key: list[str], part: str, sums: dict[str, tuple[Column, Column]], where: str, dealt: bool = False) -> DataFrame:
+def beside_group(rows: DataFrame, key: list[str], part: str, sums: dict[str, tuple[Column, Column]], where: str) -> DataFrame:
     """rows with what `sums` tells of all rows of the same key, of the keys that `where` keeps.
 
     One key may hold much of the input: its rows are dealt by `part` too, each part sums up its own, and the sums of
-    these go back to the parts that there are. sums: by name, the aggregate over rows and the one over the parts'.
-    dealt: the rows stand by key and part already."""
-    rows = rows if dealt else rows.repartition(*key, part)
+    these go back to the parts that there are. sums: by name, the aggregate over rows and the one over the parts'. Rows
+    with a null key or part are left out."""
+    # The join asks for this; said here, rows that are made by a shuffle are made once for both uses.
+    rows = rows.where(" and ".join(f"{c} is not null" for c in (*key, part)))
     parts = rows.groupBy(*key, part).agg(*(own.alias(name) for name, (own, _) in sums.items()))
     whole = parts.groupBy(*key).agg(*(total.alias(name) for name, (_, total) in sums.items()), F.collect_list(part).alias(part)).where(where)
     return rows.join(whole.withColumn(part, F.explode(part)), [*key, part])

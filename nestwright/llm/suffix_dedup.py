@@ -330,8 +330,8 @@ def repeated_spans(known: DataFrame, texts: DataFrame, length: int = LENGTH, cod
     long = known.where(F.octet_length("text") >= (2 * length // CODE - 1 if coded else length))
     place = F.pmod(F.xxhash64(*TEXT, "start"), F.lit(PARTS)).cast("int")
     found = long.select("text", *TEXT).mapInArrow(_anchored(length, coded), "key long, frag long, th long, tm int, tn int, start int, windows int").withColumn("place", place)
-    found = found.repartition("key", "place").groupBy("key", "place", "frag", *TEXT, "start", "windows").agg(F.count("*").alias("n"))
-    live = stash(beside_group(found, ["key"], "place", {"times": (F.sum("n"), F.sum("times"))}, "times > 1", dealt=True).drop("times"), "live")
+    found = found.where("key is not null and place is not null").repartition("key", "place").groupBy("key", "place", "frag", *TEXT, "start", "windows").agg(F.count("*").alias("n"))
+    live = stash(beside_group(found, ["key"], "place", {"times": (F.sum("n"), F.sum("times"))}, "times > 1").drop("times"), "live")
 
     # One row for each fragment, with the parts that hold its places, and how many fragments its anchor has.
     at = F.min(F.struct(*TEXT, "start", "windows", "place")).alias("at")
