@@ -163,6 +163,8 @@ def test_licences(spark):
     texts = [
         "Some text.\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0.", "licensed under the apache-license version 2.0", "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.",
         "Released under no license", "the mit license is long ago and far away", "All rights reserved.\n" * 3, None, "", "MIT", "x " * 500,
+        "As the first pages of this long report said before: this work is licensed under the GNU General\nPublic License, version 3. And more.", "Copyright 2020 Foo. All rights reserved.", "all rights all rights reserved reserved",
+        "word " * 70_000 + "The project is released under\tthe MIT License, it says. " + "word " * 70_000,
     ]
 
     def dice(line, template):
@@ -179,8 +181,33 @@ def test_licences(spark):
                 if best >= 0.8 and s == best:
                     old = want.get((i, k), (0, 0))
                     want[i, k] = (max(round(s, 6), old[0]), old[1] + 1)
+        # Windows of a template's words, wherever lines end; the long text's ends can't match.
+        own = licenses.plain_words((text or "").replace("word " * 69_900, ""))
+        seen = [(a, a + n, k, s) for k, t in licenses.TEMPLATES.items() for n in [len(licenses.plain_words(t))] for a in range(len(own) - n + 1) if (s := dice(" ".join(own[a : a + n]), t)) >= 0.8]
+        for a, b, k, s in seen:
+            if not any(c < b and a < d and o > s for c, d, _, o in seen):
+                old = want.get((i, k), (0, 0))
+                want[i, k] = (max(round(s, 6), old[0]), old[1])
     got = {(r.doc_id, r.license): (r.dice, r.n_lines) for r in licenses.scan(docs_of(spark, texts)).collect()}
     assert got == want and (0, "MIT") in got and (6, "proprietary") in got
+    assert got[11, "GPL-3.0"] == (1.0, 0) and (11, "GPL-2.0") not in got and got[12, "proprietary"] == (1.0, 0) and got[14, "MIT"] == (1.0, 0)
+
+
+def test_every_matching_window_has_a_bigram_that_is_sought():
+    rng = random.Random(7)
+    known = {name: licenses.bigrams(licenses.plain_words(text)) for name, text in licenses.TEMPLATES.items()}
+    cut = {name: (len(licenses.plain_words(text)), frozenset(known[name])) for name, text in licenses.TEMPLATES.items()}
+    pool = sorted({w for text in licenses.TEMPLATES.values() for w in licenses.plain_words(text)})
+    found = 0
+    for _ in range(3000):
+        own = licenses.plain_words(rng.choice(list(licenses.TEMPLATES.values())))
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = rng.choice(pool)
+        text = " ".join(rng.choices(pool, k=3) + own + rng.choices(pool, k=3))
+        if licenses.best_windows(text, cut):
+            found += 1
+            assert re.search(licenses.sought(known), text)
+    assert found > 500
 
 
 # 4. Decontamination.
