@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer single text is one slice of its own.
 SLICE_BYTES = 1 << 20
+#: Rows in an Arrow batch that goes to a Python worker.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -100,9 +103,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send BATCH_ROWS rows at once to Python workers instead of Spark's 10,000, which with texts are tens
+    of MB in the JVM's direct memory and in the worker, for each task and for good. Another number that is set stays."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors don't matter."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

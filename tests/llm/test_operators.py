@@ -482,3 +482,31 @@ def test_links_of_long_chains(spark):
             todo += [x for x in near[todo.pop()] if x not in found and not found.add(x)]
         assert got[node] == min(found)
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_workers_get_small_batches(spark):
+    from nestwright.llm import common
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    own = spark.newSession()
+    rows = own.range(0, 3 * common.BATCH_ROWS, 1, 1)
+    common.small_batches(own)
+    assert [r.n for r in rows.mapInArrow(sizes, "n long").collect()] == [common.BATCH_ROWS] * 3
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    common.small_batches(own)
+    assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+
+
+def test_every_stage_of_the_pipeline_asks_for_small_batches(spark):
+    import corpus_pipeline
+    from nestwright.llm import common
+
+    for _, stage in corpus_pipeline.STAGES:
+        own = spark.newSession()
+        stage(own, docs_of(own, ["a b c d e f g"] * 3), "/root/testdata/sf0.001")
+        assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(common.BATCH_ROWS)
