@@ -7,15 +7,16 @@ gram stands somewhere else too can hold a repeat; all others are never moved. Wh
 
 1. a fragment that stands twice as a whole, told by a 64-bit hash of its bytes, is repeated in all its windows;
    nothing has to be compared;
-2. different fragments of one anchor are gathered into shards of bounded size. Each shard gets a suffix array
-   (Larsson-Sadakane refinement), common prefixes by Kasai's recurrence, and the runs of suffixes with
-   `length` bytes in common are its repeats;
+2. different fragments of one anchor are gathered into shards of bounded size. What windows of nearly one place
+   about the anchor have in common is their *core*; windows whose core stands in no other fragment of the anchor can't
+   be repeated and are left out. Each shard gets a suffix array of the rest (Larsson-Sadakane refinement), common
+   prefixes by Kasai's recurrence, and the runs of suffixes with `length` bytes in common are its repeats;
 3. an anchor with more fragments than a shard takes is cut over several; windows that are alone in their
    shard are then looked up in those of the anchor's other shards by binary search.
 
 Texts are known by a 96-bit hash and their length, so equal texts are worked on once. One anchor, and one fragment,
 may hold much of the corpus: their places are dealt to PARTS parts by text as well. Passages can also be counted in
-words: the same is done to a string of CODE bytes for each word.
+words: the same is done to a string of one 32-bit symbol for each word.
 """
 
 from __future__ import annotations
@@ -37,19 +38,33 @@ SHARD_FRAGMENTS, SHARD_BYTES = 2048, 1 << 20
 RUN = 1 << 22
 #: Bits for a place in a run, so that windows of equal bytes rank their grams alike wherever they stand.
 PLACE = 23
-#: Bytes that stand for a word where passages are counted in words: a hash of its own. Words of a passage.
-CODE, WORDS = 4, 51
+#: What stands for a word where passages are counted in words: a hash of its own. Symbols of a gram then; words of a passage.
+CODE, CODE_GRAM, WORDS = np.uint32, 8, 51
+#: Cores of an anchor, each of the windows that begin at about one distance from it.
+CORES = 8
 #: Parts into which the places of an anchor or a fragment are dealt.
 PARTS = 256
 
 
+_SYMBOL = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _prefix_sums(data: np.ndarray) -> np.ndarray:
     up, _ = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((_BYTE[data] if data.dtype == np.uint8 else mix(data + _SYMBOL)) * up[: len(data)], out=sums[1:])
     return sums
 
 
+def _gram(data: np.ndarray, length: int) -> int:
+    return min(GRAM if data.dtype == np.uint8 else CODE_GRAM, length)
+
+
+def _grams(sums: np.ndarray, gram: int) -> np.ndarray:
+    n = len(sums) - gram
+    return mix((sums[gram:] - sums[:-gram]) * powers(len(sums))[1][:n])
+
+
 def _hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
 
@@ -68,12 +83,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text's number, anchor's hash, fragment's hash, first window, windows, anchor's place from it) of each fragment."""
-    gram = min(GRAM, length)
+    gram = _gram(data, length)
     if len(data) < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     sums = _prefix_sums(data)
-    _, down = powers(len(data) + 1)
-    grams = mix((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
+    grams = _grams(sums, gram)
     # The hash without its last bits, then the place: of the same bytes the order is the same in every run.
     bits = np.uint64(PLACE)
     ranked = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -95,13 +109,12 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
 
 
 def _bytes(texts: pa.Array, coded: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes and offsets, or with `coded` CODE bytes for each word, so that n words are n * CODE bytes."""
+    """The texts' bytes and offsets, or with `coded` a symbol for each word."""
     data, offsets = text_bytes(texts)
     if not coded:
         return data, offsets
     starts, ends, first = word_spans(data, offsets)
-    codes = _hashes(_prefix_sums(data), starts, ends).astype(np.uint32).view(np.uint8)
-    return np.maximum(codes, 1), first * CODE
+    return np.maximum(_hashes(_prefix_sums(data), starts, ends).astype(CODE), CODE(1)), first
 
 
 def _anchored(length: int, coded: bool):
@@ -126,13 +139,13 @@ def _anchored(length: int, coded: bool):
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
-    """At each place the eight bytes from there as one number, zeros beyond the end."""
-    n = len(data)
+    """At each place the eight bytes from there, or two symbols, as one number, zeros beyond the end."""
+    n, bits = len(data), 8 * data.itemsize
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = data
     out = np.zeros(n, np.uint64)
-    for k in range(8):
-        out |= padded[k : k + n] << np.uint64(56 - 8 * k)
+    for k in range(64 // bits):
+        out |= padded[k : k + n] << np.uint64(64 - bits * (k + 1))
     return out
 
 
@@ -140,16 +153,16 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """Starts of the suffixes in order. Larsson-Sadakane: suffixes are grouped by their first bytes; each round
     sorts only within groups that are not yet single, by the groups of the suffixes that stand one depth further on,
     and two where three groups fit into one number, so that the depth doubles or triples."""
-    n = len(data)
+    n, wide = len(data), 8 // data.itemsize
     first = _eights(data)
     # A zero byte and the end look alike here, so the ends of the shorter suffixes are told apart by their length.
-    order = np.argsort(first) if data.all() else np.lexsort((np.minimum(n - np.arange(n), 8), first))
-    ordered, lengths = first[order], np.minimum(n - order, 8)
+    order = np.argsort(first) if data.all() else np.lexsort((np.minimum(n - np.arange(n), wide), first))
+    ordered, lengths = first[order], np.minimum(n - order, wide)
     new = np.ones(n, bool)
     new[1:] = (ordered[1:] != ordered[:-1]) | (lengths[1:] != lengths[:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    depth, times = 8, 3 if n + 1 < 1 << 21 else 2
+    depth, times = wide, 3 if n + 1 < 1 << 21 else 2
     places = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(places):
         suffix = order[places]
@@ -169,12 +182,12 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """How many bytes each suffix has in common with the one before it in order; what is over `most` is a lower bound.
+    """How many bytes or symbols each suffix has in common with the one before it in order; what is over `most` is a lower bound.
 
     Kasai: going through the text, a suffix has at least one byte less in common with its predecessor than the
     suffix one place before it. The rest is counted only where the bytes before the two differ, since elsewhere
     it is exactly one less."""
-    n = len(data)
+    n, wide, bits = len(data), 8 // data.itemsize, 8 * data.itemsize
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
     place = np.arange(n)
@@ -189,10 +202,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     while len(active):
         unlike = eights[np.minimum(a[active] + count[active], n)] ^ eights[np.minimum(b[active] + count[active], n)]
         same = np.zeros(len(active), np.int64)
-        for k in range(8):
-            same += unlike < np.uint64(1 << 8 * k)
+        for k in range(wide):
+            same += unlike < np.uint64(1 << bits * k)
         count[active] = np.minimum(count[active] + same, limit[active])
-        active = active[(same == 8) & (count[active] < limit[active]) & (count[active] < most + n)]
+        active = active[(same == wide) & (count[active] < limit[active]) & (count[active] < most + n)]
     full = np.zeros(n, np.int64)
     full[a] = count
     source = np.maximum.accumulate(np.where(fresh, place, 0))
@@ -201,10 +214,46 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return kept[order]
 
 
-def shard_repeats(group: list[tuple], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def may_repeat(group: list[tuple], length: int, kind=np.uint8) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fragment (anchor's hash, windows, bytes): the first and the end of the windows outside of which none is like
+    one of another fragment of its anchor.
+
+    The windows of a fragment hold its anchor, so two that are alike begin at one distance from it. Distances are cut
+    into CORES ranges; the windows of a range share a core, which two fragments with like windows there have both."""
+    data = np.frombuffer(b"".join(g[2] for g in group), kind)
+    sizes = np.array([len(g[2]) for g in group]) // data.itemsize
+    keys, windows = np.array([g[0] for g in group], np.int64).view(np.uint64), np.array([g[1] for g in group])
+    first = np.cumsum(sizes) - sizes
+    gram, sums = _gram(data, length), _prefix_sums(data)
+    # The anchor is the first place of its gram among those that all windows hold.
+    spots = length - gram + 2 - windows
+    owner = np.repeat(np.arange(len(group)), spots)
+    spot = np.arange(len(owner)) - np.repeat(np.cumsum(spots) - spots - (first + windows - 1), spots)
+    found = np.flatnonzero(_grams(sums, gram)[spot] == keys[owner])
+    owners, at = np.unique(owner[found], return_index=True)
+    if len(owners) < len(group):
+        raise ValueError("a fragment without its anchor")
+    anchor = spot[found[at]]
+    low, high = np.full(len(group), length), np.full(len(group), -1)
+    step = -(-(length - gram + 1) // CORES)
+    for near in range(0, length - gram + 1, step):
+        far = min(near + step - 1, length - gram)
+        # Distances of a fragment's windows from its anchor: from `last` to `most`.
+        most = anchor - first
+        last = most - windows + 1
+        held = np.flatnonzero((last <= far) & (most >= near))
+        core = mix(_hashes(sums, anchor[held] - near, anchor[held] - far + length) ^ keys[held])
+        _, back, times = np.unique(core, return_inverse=True, return_counts=True)
+        shared = held[times[back] > 1]
+        low[shared], high[shared] = np.minimum(low[shared], near), far
+    lo, hi = np.maximum(0, most - high), np.minimum(windows, most - low + 1)
+    return np.where(high < 0, 0, lo), np.where(high < 0, 0, hi)
+
+
+def shard_repeats(group: list[tuple], length: int, kind=np.uint8) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each fragment (n, windows, bytes): which windows are repeated in the shard, and which stand for theirs."""
-    data = np.frombuffer(b"".join(g[2] for g in group), np.uint8)
-    ends = np.cumsum([len(g[2]) for g in group])
+    data = np.frombuffer(b"".join(g[2] for g in group), kind)
+    ends = np.cumsum([len(g[2]) // data.itemsize for g in group])
     owned = np.zeros(len(data), np.int64)
     at = 0
     for (n, windows, _), end in zip(group, ends.tolist(), strict=True):
@@ -230,7 +279,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def _sharded(length: int):
+def _sharded(length: int, kind):
     """Rows (key, frag, lo, hi): a run of repeated windows; and (key, bucket, packed): the windows of a shard that are
     to be looked up in the anchor's other shards, as (seen, frag, place) triples in order of their hash, `seen`."""
     names = ["key", "frag", "lo", "hi", "bucket", "packed"]
@@ -239,11 +288,18 @@ def _sharded(length: int):
     def told(group: list[tuple]) -> pa.RecordBatch:
         runs: list[tuple] = []
         windows: dict[tuple[int, int], list[np.ndarray]] = {}
-        for (key, frag, _, parts, _, body), (repeated, stands) in zip(group, shard_repeats([g[2:3] + g[4:6] for g in group], length), strict=True):
-            runs += [(key, frag, lo, hi, None, None) for lo, hi in zip(*(x.tolist() for x in _runs(repeated)), strict=True)]
+        size, left = np.dtype(kind).itemsize, []
+        for (key, frag, n, parts, held, body), lo, hi in zip(group, *(x.tolist() for x in may_repeat([(g[0], *g[4:6]) for g in group], length, kind)), strict=True):
+            if parts > 1:  # the other shards may hold a like window
+                left.append((key, frag, n, parts, 0, held, body))
+            elif lo < hi:
+                left.append((key, frag, n, parts, lo, hi - lo, body[size * lo : size * (hi - 1 + length)]))
+        marks = shard_repeats([(g[2], *g[5:7]) for g in left], length, kind) if left else []
+        for (key, frag, _, parts, first, _, body), (repeated, stands) in zip(left, marks, strict=True):
+            runs += [(key, frag, first + lo, first + hi, None, None) for lo, hi in zip(*(x.tolist() for x in _runs(repeated)), strict=True)]
             if parts > 1:
                 at = np.flatnonzero(stands)
-                seen = _hashes(_prefix_sums(np.frombuffer(body, np.uint8)), at, at + length)
+                seen = _hashes(_prefix_sums(np.frombuffer(body, kind)), at, at + length)
                 windows.setdefault((key, parts), []).append(np.stack([seen.view(np.int64), np.full(len(at), frag), at], axis=1))
         for (key, parts), held in windows.items():
             table = np.concatenate(held)
@@ -301,8 +357,8 @@ def _cut_out(length: int, coded: bool):
         for batch in batches:
             at, asked = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index("wanted")).to_pylist()
             for i, wanted in enumerate(asked):
-                body = _bytes(batch.column(at).slice(i, 1), coded)[0].tobytes()
-                rows = [(*(w[c] for c in names), body[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
+                body = _bytes(batch.column(at).slice(i, 1), coded)[0]
+                rows = [(*(w[c] for c in names), body[w["start"] : w["start"] + w["windows"] + length - 1].tobytes()) for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*names, "body"])
 
     return run
@@ -325,9 +381,9 @@ def _texts(known: DataFrame) -> DataFrame:
 
 def repeated_spans(known: DataFrame, texts: DataFrame, length: int = LENGTH, coded: bool = False) -> DataFrame:
     """(th, tm, tn, spans): for every distinct text that has some, its repeated byte spans, array<struct<lo,hi>>,
-    neither ordered nor joined; with `coded` those of its words' codes. texts: those of known."""
+    neither ordered nor joined; with `coded` length and spans count words. texts: those of known."""
     # A word takes a byte at least, and a space stands between two.
-    long = known.where(F.octet_length("text") >= (2 * length // CODE - 1 if coded else length))
+    long = known.where(F.octet_length("text") >= (2 * length - 1 if coded else length))
     place = F.pmod(F.xxhash64(*TEXT, "start"), F.lit(PARTS)).cast("int")
     found = long.select("text", *TEXT).mapInArrow(_anchored(length, coded), "key long, frag long, th long, tm int, tn int, start int, windows int").withColumn("place", place)
     found = found.where("key is not null and place is not null").repartition("key", "place").groupBy("key", "place", "frag", *TEXT, "start", "windows").agg(F.count("*").alias("n"))
@@ -348,7 +404,7 @@ def repeated_spans(known: DataFrame, texts: DataFrame, length: int = LENGTH, cod
     bodies = near.join(asked.withColumnsRenamed({c: f"_{c}" for c in TEXT}), [*(F.col(c) == F.col(f"_{c}") for c in TEXT), F.col("doc_id").eqNullSafe(F.col("rep"))]).select("text", "wanted")
     bodies = bodies.mapInArrow(_cut_out(length, coded), "key long, frag long, n long, parts long, part long, windows int, body binary").dropDuplicates(["key", "frag"])
     shards = bodies.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "frag", "n", "parts", "windows", "body")
-    told = stash(shards.mapInArrow(_sharded(length), "key long, frag long, lo int, hi int, bucket long, packed binary"), "told")
+    told = stash(shards.mapInArrow(_sharded(length, CODE if coded else np.uint8), "key long, frag long, lo int, hi int, bucket long, packed binary"), "told")
     unstash(asked), unstash(bits)
     looked = told.where("bucket is not null").select("key", "bucket", "packed").repartition("key", "bucket").sortWithinPartitions("key", "bucket").mapInArrow(_looked_up, "key long, frag long, lo int, hi int")
 
@@ -373,7 +429,7 @@ def all_spans(known: DataFrame, length: int, words: int | None) -> DataFrame:
     if not words:
         unstash(texts)
         return spans.withColumn("coded", none)
-    coded = repeated_spans(known, texts, words * CODE, coded=True)
+    coded = repeated_spans(known, texts, words, coded=True)
     both = spans.withColumn("coded", none).unionByName(coded.select(*TEXT, none.alias("spans"), F.col("spans").alias("coded")))
     out = stash(both.groupBy(*TEXT).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("coded")).alias("coded")), "spans")
     unstash(spans), unstash(coded), unstash(texts)
@@ -391,10 +447,10 @@ def joined_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def _of_words(text: str | None, coded: list[dict]) -> list[dict]:
-    """Byte spans of a text, from those of its words' codes."""
+    """Byte spans of a text, from those of its words."""
     body = np.frombuffer((text or "").encode(), np.uint8)
     starts, ends, _ = word_spans(body, np.array([0, len(body)]))
-    return [{"lo": int(starts[lo // CODE]), "hi": int(ends[-(-hi // CODE) - 1])} for lo, hi in joined_spans(coded)]
+    return [{"lo": int(starts[lo]), "hi": int(ends[hi - 1])} for lo, hi in joined_spans(coded)]
 
 
 def _cut(text: str | None, spans: list[dict] | None) -> tuple[bytes, bytes, int]:
@@ -405,12 +461,28 @@ def _cut(text: str | None, spans: list[dict] | None) -> tuple[bytes, bytes, int]
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc_id, texts, spans, coded = batch.columns
-        cuts = [_cut(*x) for x in zip(texts.to_pylist(), spans.to_pylist(), strict=True)]
-        rows = [(len(body), len(body) - len(kept), n, kept) for body, kept, n in cuts]
-        columns = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))
-        repeated = pa.array([bool(a or b) for a, b in zip(spans.to_pylist(), coded.to_pylist(), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([doc_id, *columns, repeated], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "repeated"])
+        doc_id, texts, spans, repeated = batch.columns
+        data, offsets = text_bytes(texts)
+        # All spans of the batch at once, by where they begin; each text's are joined where they meet.
+        owner = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = spans.flatten()
+        lo, hi = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) + offsets[owner] for c in ("lo", "hi"))
+        by = np.lexsort((lo, owner))
+        owner, lo, hi = owner[by], lo[by], np.maximum.accumulate(hi[by]) if len(by) else hi
+        # A text's spans end within it, so the greatest end so far is of the same text or of one before.
+        new = np.ones(len(by), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (lo[1:] > hi[:-1])
+        first = np.flatnonzero(new)
+        lo, hi, owner = lo[first], hi[np.append(first[1:], len(by)) - 1] if len(first) else hi, owner[first]
+        count = np.bincount(owner, minlength=len(offsets) - 1)
+        gone = np.zeros(len(data) + 1, np.int64)
+        np.add.at(gone, lo, 1)
+        np.add.at(gone, hi, -1)
+        left = np.cumsum(gone[:-1]) == 0
+        places = np.concatenate([[0], np.cumsum(left)])[offsets]
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[left]))]).cast(pa.binary())
+        sizes = np.diff(offsets)
+        yield pa.RecordBatch.from_arrays([doc_id, pa.array(sizes), pa.array(sizes - np.diff(places)), pa.array(count), kept, repeated], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "repeated"])
 
 
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +507,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = No
     known = _known(docs)
     spans = all_spans(known, length, words)
     marked = may_have(known, F.xxhash64(*TEXT), bits_of(spans, F.xxhash64(*TEXT)))
-    cut = marked.where("may").join(spans, TEXT, "left").select("doc_id", "text", "spans", "coded").mapInArrow(_kept, KEPT)
+    repeated = (F.coalesce(F.size("spans"), F.lit(0)) > 0) | (F.coalesce(F.size("coded"), F.lit(0)) > 0)
+    cut = marked.where("may").join(spans, TEXT, "left").select("doc_id", "text", "spans", repeated.alias("repeated")).mapInArrow(_kept, KEPT)
     zero = F.lit(0).cast("long")
     whole = marked.where("not may").select("doc_id", F.col("tn").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), F.lit(False).alias("repeated"))
     return whole.union(cut)

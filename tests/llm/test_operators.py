@@ -84,6 +84,37 @@ def test_repeats_are_removed(spark, monkeypatch, fragments):
         assert kept.get(i) == (None if gone and not body else texts[i] if texts[i] is None else body.decode(errors="ignore"))
 
 
+@pytest.mark.parametrize("kind", [np.uint8, suffix_dedup.CODE])
+def test_windows_that_cannot_be_repeated_stay_out_of_suffix_arrays(kind):
+    rng, length = np.random.default_rng(5), 60
+    passage = rng.integers(1, 256, 100)
+    bodies = [np.concatenate([rng.integers(1, 256, 80), passage[: (100, 59, 64, 40)[i % 4]], rng.integers(1, 256, 80)]).astype(kind) for i in range(16)]
+    data, offsets = np.concatenate(bodies), np.cumsum([0, *map(len, bodies)])
+    text, key, frag, start, windows, _ = suffix_dedup.fragments(data, offsets, length)
+    group = [(k, w, data[offsets[t] + a : offsets[t] + a + w + length - 1].tobytes()) for t, k, a, w in zip(text.tolist(), key.view(np.int64).tolist(), start.tolist(), windows.tolist(), strict=True)]
+    lo, hi = suffix_dedup.may_repeat(group, length, kind)
+    whole = suffix_dedup.shard_repeats([(1, w, body) for _, w, body in group], length, kind)
+    kept = 0
+    for i, ((repeated, _), a, b) in enumerate(zip(whole, lo.tolist(), hi.tolist(), strict=True)):
+        # Only windows left out that have no like one, and all of the texts whose passage is too short.
+        assert not repeated[:a].any() and not repeated[b:].any()
+        assert text[i] % 4 not in (3,) or a == b
+        kept += b - a
+    assert sum(int(r.sum()) for r, _ in whole) == 4 * 41 + 4 * 5 <= kept < windows.sum() / 4
+
+
+def test_suffix_arrays_of_symbols():
+    data = np.random.default_rng(6).integers(1, 4, 300).astype(suffix_dedup.CODE) << suffix_dedup.CODE(9)
+    data = np.concatenate([data, data[:90], data[40:200]])
+    order = suffix_dedup.suffix_array(data)
+    items = data.tolist()
+    assert order.tolist() == sorted(range(len(items)), key=lambda i: items[i:])
+    found = suffix_dedup.common_prefixes(data, order, 1 << 20).tolist()
+    for i in range(1, len(items)):
+        a, b = items[order[i - 1] :], items[order[i] :]
+        assert found[i] == next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
 def test_the_pipeline_takes_out_repeated_passages_of_51_words(spark):
     import corpus_pipeline
 
