@@ -3,7 +3,8 @@
 A window is a string of `length` bytes. Of its grams of GRAM bytes the one with the least hash, the leftmost
 of equals, is its *anchor*; the windows of a text that share an anchor follow one another, and the bytes
 they cover are a *fragment*. Equal windows have equal anchors at equal places, so only fragments whose anchor
-gram stands somewhere else too can hold a repeat; all others are never moved. What is left is dealt by anchor:
+gram stands somewhere else too can hold a repeat; all others are never moved. A passage that repeats itself over and over
+has a like fragment for each of its periods: these are one row, with their number. What is left is dealt by anchor:
 
 1. a fragment that stands twice as a whole, told by a 64-bit hash of its bytes, is repeated in all its windows;
    nothing has to be compared;
@@ -108,6 +109,14 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     return text, grams[anchors[first]], _hashes(sums, first, last + length - 1), first - offsets[text], last - first, anchors[first] - first
 
 
+def like_runs(text: np.ndarray, key: np.ndarray, frag: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of fragments in order: where a run of like ones that follow one another in a text begins, and how many it has."""
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (frag[1:] != frag[:-1]) | (windows[1:] != windows[:-1]) | (start[1:] != start[:-1] + windows[:-1])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(text)))
+
+
 def _bytes(texts: pa.Array, coded: bool) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes and offsets, or with `coded` a symbol for each word."""
     data, offsets = text_bytes(texts)
@@ -118,7 +127,7 @@ def _bytes(texts: pa.Array, coded: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchored(length: int, coded: bool):
-    """Rows of fragments: (key, frag, th, tm, tn, start, windows)."""
+    """Rows of fragments: (key, frag, th, tm, tn, start, windows, run): of `run` like ones in a row the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -129,10 +138,11 @@ def _anchored(length: int, coded: bool):
             for at in range(0, 1 if many else max(1, len(data) - length + 1), step):
                 part = data if many else data[at : at + step + length - 1]
                 text, key, frag, start, windows, _ = fragments(part, offsets if many else np.array([0, len(part)]), length)
-                rows = pa.array(text)
+                first, count = like_runs(text, key, frag, start, windows)
+                rows = pa.array(text[first])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(frag.view(np.int64)), *(c.take(rows) for c in batch.columns[1:]), pa.array((start + at).astype(np.int32)), pa.array(windows.astype(np.int32))],
-                    ["key", "frag", *TEXT, "start", "windows"],
+                    [pa.array(key[first].view(np.int64)), pa.array(frag[first].view(np.int64)), *(c.take(rows) for c in batch.columns[1:]), *(pa.array(x.astype(np.int32)) for x in (start[first] + at, windows[first], count))],
+                    ["key", "frag", *TEXT, "start", "windows", "run"],
                 )
 
     return run
@@ -385,8 +395,8 @@ def repeated_spans(known: DataFrame, texts: DataFrame, length: int = LENGTH, cod
     # A word takes a byte at least, and a space stands between two.
     long = known.where(F.octet_length("text") >= (2 * length - 1 if coded else length))
     place = F.pmod(F.xxhash64(*TEXT, "start"), F.lit(PARTS)).cast("int")
-    found = long.select("text", *TEXT).mapInArrow(_anchored(length, coded), "key long, frag long, th long, tm int, tn int, start int, windows int").withColumn("place", place)
-    found = found.where("key is not null and place is not null").repartition("key", "place").groupBy("key", "place", "frag", *TEXT, "start", "windows").agg(F.count("*").alias("n"))
+    found = long.select("text", *TEXT).mapInArrow(_anchored(length, coded), "key long, frag long, th long, tm int, tn int, start int, windows int, run int").withColumn("place", place)
+    found = found.where("key is not null and place is not null").repartition("key", "place").groupBy("key", "place", "frag", *TEXT, "start", "windows", "run").agg(F.sum("run").alias("n"))
     live = stash(beside_group(found, ["key"], "place", {"times": (F.sum("n"), F.sum("times"))}, "times > 1").drop("times"), "live")
 
     # One row for each fragment, with the parts that hold its places, and how many fragments its anchor has.
@@ -413,8 +423,9 @@ def repeated_spans(known: DataFrame, texts: DataFrame, length: int = LENGTH, cod
     partial = told.where("bucket is null").select("key", "frag", "lo", "hi").union(looked)
     full = whole.where("n > 1").select("key", "frag", F.explode("places").alias("place"), F.lit(0).alias("lo"), F.col("at.windows").alias("hi"))
     marked = full.union(partial.join(whole.where("n = 1").select("key", "frag", F.col("at.place").alias("place")), ["key", "frag"]).select("key", "frag", "place", "lo", "hi"))
-    # Every place is kept by the join, so that its rows follow the input, however much of that is repeated.
-    span = F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi"))
+    # Every place is kept by the join, so that its rows follow the input, however much of that is repeated. What stands
+    # several times in a row is repeated as a whole, over all of its row.
+    span = F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + (F.col("run") - 1) * F.col("windows") + F.col("hi") - 1 + length).alias("hi"))
     spans = live.join(marked, ["key", "frag", "place"], "left").select(*TEXT, F.when(F.col("lo").isNotNull(), span).alias("span"))
     spans = stash(spans.groupBy(*TEXT).agg(F.collect_list("span").alias("spans")).where(F.size("spans") > 0), "spans")
     for table in (live, whole, told):

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nestwright.llm import byte_bpe, decontamination, fingerprints, language_id, licenses, ngram_jaccard, quality, suffix_dedup, token_counts, toxicity
@@ -103,6 +104,37 @@ def test_windows_that_cannot_be_repeated_stay_out_of_suffix_arrays(kind):
     assert sum(int(r.sum()) for r, _ in whole) == 4 * 41 + 4 * 5 <= kept < windows.sum() / 4
 
 
+@pytest.mark.parametrize("coded", [False, True])
+def test_a_passage_that_repeats_itself_has_one_row_for_its_periods(monkeypatch, coded):
+    rng, length = random.Random(8), 60
+    texts = [(words(rng, k % 3 * 30) + " " + f"{'ab' * (k % 5 + 1)} cd " * 700 + words(rng, k % 2 * 80)) for k in range(10)] + ["xyz " * 700] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), *(pa.array(range(len(texts)), t) for t in (pa.int64(), pa.int32(), pa.int32()))], ["text", *suffix_dedup.TEXT])
+    data, offsets = suffix_dedup._bytes(batch.column(0), coded)
+    text, key, frag, start, windows, _ = suffix_dedup.fragments(data, offsets, length)
+    rows = [r for b in suffix_dedup._anchored(length, coded)(iter([batch])) for r in b.to_pylist()]
+    whole = [(r["th"], r["key"], r["frag"], r["start"] + k * r["windows"], r["windows"]) for r in rows for k in range(r["run"])]
+    assert whole == list(zip(text.tolist(), key.view(np.int64).tolist(), frag.view(np.int64).tolist(), start.tolist(), windows.tolist(), strict=True))
+    assert len(rows) < len(whole) / 5
+    # A long text is worked on in several steps, whose windows are all there once.
+    monkeypatch.setattr(suffix_dedup, "RUN", 500)
+    for i in range(len(texts)):
+        rows = [r for b in suffix_dedup._anchored(length, coded)(iter([batch.slice(i, 1)])) for r in b.to_pylist()]
+        held = [r["start"] + k for r in rows for k in range(r["run"] * r["windows"])]
+        assert sorted(held) == list(range(offsets[i + 1] - offsets[i] - length + 1))
+
+
+def test_passages_that_repeat_themselves_are_removed(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(40):
+        unit = rng.choice(["a", "ab", "aab ", "word pair ", "é", "a longer one that is said again and again, and once more; "])
+        passage = (unit * 400)[rng.randint(0, 9) :][: rng.choice([58, 59, 60, 61, 62, 70, 130, 400, 700])]
+        texts.append(words(rng, rng.choice([0, 3, 40])) + passage + words(rng, rng.choice([0, 3, 40])) + passage[: rng.choice([0, 0, 59, 90])])
+    texts += texts[:5]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs_of(spark, texts), 60).collect()}
+    assert [got[i] for i in range(len(texts))] == removed_by_hand(texts, 60)
+
+
 def test_suffix_arrays_of_symbols():
     data = np.random.default_rng(6).integers(1, 4, 300).astype(suffix_dedup.CODE) << suffix_dedup.CODE(9)
     data = np.concatenate([data, data[:90], data[40:200]])
